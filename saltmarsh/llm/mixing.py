@@ -5,11 +5,12 @@ document a posterior over the domains; evidence is tempered to at most ``EVIDENC
 in two languages belongs to both.  Then nonnegative rates r, one per document, are fitted by projected
 gradient on
 
-    1/2 sum_k (A_k r - T_k)^2 / (T_k S) + ridge/2 sum_d t_d / S (r_d - 1)^2,   r >= 0
+    1/2 sum_k (A_k r - T_k)^2 / (T_k S),   r >= 0,   from r = 1
 
 with t_d the words of a document, A_k r = sum_d t_d p_dk r_d the expected words of domain k, T_k the
-target, S all words.  A step divides the gradient by t_d / S, so the step of a document needs its
-posterior and one number per domain; the driver holds those numbers, never rows.
+target, S all words.  Steps are divided by t_d / S and projected lazily: the steps add up before the
+projection, r_d = max(0, 1 - sum_k p_dk m_k).  So a document's rate needs its posterior and one number per
+domain; a step is one aggregation to a row, and the driver holds those numbers, never documents.
 
 Rows without words have rate 1.  Null texts are empty texts; labelled rows are those with a domain among
 the targets and a doc_id that the labelled table holds (repeated or null ids there count once or not);
@@ -31,11 +32,8 @@ from .shared import written
 BUCKETS = 4096
 EVIDENCE = 30
 SMOOTHING = 0.1
-RIDGE = 1e-3
-STEPS = 40
+STEPS = 60
 TOLERANCE = 1e-4
-#: Steps after which the rates are written and the lineage starts anew.
-CUT = 12
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Shares of words by language of the production mix.
 TARGETS = {"de": 0.15, "en": 0.5, "es": 0.15, "fr": 0.2}
@@ -49,6 +47,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACES), "")
 
 
+def numbers(values: np.ndarray) -> Column:
+    """An array as one literal, which plans handle faster than one literal per entry."""
+    return F.split(F.lit(" ".join(map(repr, values.tolist()))), " ").cast("array<double>")
+
+
+def summed(buckets: str, row: Column) -> Column:
+    """Sum of what ``row`` holds for each of ``buckets``."""
+    return F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.get(row, b))
+
+
 class Classifier:
     """Log weights (domains, buckets) and log priors."""
 
@@ -67,8 +75,7 @@ class Classifier:
         less = F.lit(float(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(EVIDENCE)).cast("double")
         odds = {}  # against the first domain
         for k in range(1, len(self.domains)):
-            row = F.lit((self.weights[k] - self.weights[0]).tolist())
-            total = F.aggregate("__buckets", F.lit(0.0), lambda sum_, b, row=row: sum_ + F.get(row, b))
+            total = summed("__buckets", numbers(self.weights[k] - self.weights[0]))
             odds[f"__odds{k}"] = total * less + float(self.priors[k] - self.priors[0])
         scored = ready.withColumns(odds).drop("__buckets")
         each = [F.lit(0.0), *map(F.col, odds)]
@@ -96,60 +103,44 @@ def train(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, fl
     return Classifier(domains, counts, seen)
 
 
-class Rates:
-    """The steps that were taken; a document's rate follows from its posterior and these."""
-
-    def __init__(self, domains: list[str], pace: float, ridge: float):
-        self.domains, self.pace, self.ridge = domains, pace, ridge
-        self.pulls: list[list[float]] = []
-
-    def column(self, start: Column, first: int, prefix: str = "p_") -> Column:
-        rate = start
-        for pull in self.pulls[first:]:
-            move = F.lit(self.pace * self.ridge)
-            for name, by in zip(self.domains, pull, strict=True):
-                move = move - F.col(f"{prefix}{name}") * (self.pace * by)
-            rate = F.greatest(F.lit(0.0), rate * (1 - self.pace * self.ridge) + move)
-        return rate
+def rate(domains: list[str], pulls: np.ndarray, prefix: str = "p_") -> Column:
+    """Rate of a document: 1 less the pulls of its domains, projected to the nonnegative numbers."""
+    value = F.lit(1.0)
+    for name, pull in zip(domains, pulls.tolist(), strict=True):
+        value = value - F.col(f"{prefix}{name}") * pull
+    return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), value)).otherwise(1.0)
 
 
-def fit(table: DataFrame, domains: list[str], targets: dict[str, float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, prefix: str = "p_") -> tuple[DataFrame, Rates]:
-    """``table`` (with n_tokens and posteriors, written) with the column rate, and the steps."""
+def fit(table: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE, prefix: str = "p_") -> np.ndarray:
+    """The pull of every domain, from ``table``, a written table with n_tokens and posteriors."""
     p = [F.col(f"{prefix}{d}") for d in domains]
+    pulls = np.zeros(len(domains))
     t = F.col("n_tokens").cast("double")
     pairs = [F.sum(t * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(len(p)) for j in range(i + 1)]
     whole = table.agg(F.sum(t).alias("s"), *pairs).first() if domains else None
     if not whole or not whole["s"]:
-        return table.withColumn("rate", F.lit(1.0)), Rates([], 0.0, ridge)
+        return pulls
     share = np.array([targets[d] for d in domains])
     aim = share / share.sum() * whole["s"]
     curve = np.zeros((len(p), len(p)))
     for i in range(len(p)):
         for j in range(i + 1):
             curve[i, j] = curve[j, i] = whole[f"h{i}_{j}"] / math.sqrt(aim[i] * aim[j])
-    rates = Rates(domains, 1.0 / (float(np.linalg.eigvalsh(curve)[-1]) + ridge), ridge)
-    state, first = table.withColumn("rate", F.lit(1.0)), 0
-    last = np.inf
-    for step in range(steps):
-        now = state.withColumn("rate", rates.column(F.col("rate"), first, prefix))
-        if len(rates.pulls) - first >= CUT:
-            state, first = written(now, "rates"), len(rates.pulls)
-            now = state
-        got = now.agg(*[F.sum(t * F.col("rate") * x).alias(f"a{k}") for k, x in enumerate(p)]).first()
-        pull = np.array([got[f"a{k}"] for k in range(len(p))]) / aim - 1
-        off = float(np.abs(pull).max())
-        if off < tolerance or abs(last - off) < tolerance / 100 and step > 3:
+    pace = 1.0 / float(np.linalg.eigvalsh(curve)[-1])
+    for _ in range(steps):
+        now = rate(domains, pulls, prefix)
+        got = table.agg(*[F.sum(t * now * x).alias(f"a{k}") for k, x in enumerate(p)]).first()
+        off = np.array([got[f"a{k}"] for k in range(len(p))]) / aim - 1
+        if np.abs(off).max() < tolerance:
             break
-        last = off
-        rates.pulls.append(pull.tolist())
-    rate = rates.column(F.col("rate"), first, prefix)
-    return state.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)), rates
+        pulls = pulls + pace * off
+    return pulls
 
 
-def copies(rate: Column, *key: Column | str) -> Column:
-    """How often a document is taken: its rate, the fraction decided by a hash of ``key``."""
+def copies(often: Column, *key: Column | str) -> Column:
+    """How often a document is taken: ``often``, its fraction decided by a hash of ``key``."""
     luck = F.pmod(F.xxhash64(*key, F.lit("mix")), F.lit(1 << 24)).cast("double") / float(1 << 24)
-    return F.floor(rate + luck).cast("long")
+    return F.floor(often + luck).cast("long")
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
@@ -161,7 +152,8 @@ def mix_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets:
         table = some.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     else:
         table = model.with_posteriors(some).drop("text")
-    rated, _ = fit(written(table, "members"), model.domains, targets)
+    table = written(table, "members")
+    rated = table.withColumn("rate", rate(model.domains, fit(table, model.domains, targets)))
     missing = {f"p_{d}": F.lit(0.0) for d in targets if d not in model.domains}
     return rated.withColumns(missing).withColumn("copies", copies(F.col("rate"), "doc_id", "source")).select("doc_id", "source", "n_tokens", *(f"p_{d}" for d in targets), "rate", "copies")
 
@@ -174,7 +166,7 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dic
         return docs
     names = docs.columns
     table = model.with_posteriors(docs.select("text")).drop("text")
-    _, rates = fit(written(table, "members"), model.domains, targets)
-    rated = model.with_posteriors(docs.select(*names)).withColumn("__rate", F.when(F.col("n_tokens") > 0, rates.column(F.lit(1.0), 0)).otherwise(1.0))
+    pulls = fit(written(table, "members"), model.domains, targets)
+    rated = model.with_posteriors(docs.select(*names)).withColumn("__rate", rate(model.domains, pulls))
     taken = rated.withColumn("__copies", copies(F.col("__rate"), "doc_id", "text")).where("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
