@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, fl
     """Counts over all labelled rows; the driver receives a row per domain and bucket."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), F.col("text"))
-    rows = texts.where(F.col("domain").isin(*targets)).join(ids, "doc_id", "left_semi")
+    rows = texts.where(F.col("domain").isin(*targets)).join(ids.hint("merge"), "doc_id", "left_semi")
     exploded = rows.select("domain", F.explode(F.concat(F.array(F.lit(-1)), F.transform(words(F.col("text")), bucket))).alias("b"))
     got = exploded.groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     domains = sorted({r["domain"] for r in got})
