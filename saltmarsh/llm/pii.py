@@ -279,5 +279,5 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 n = some.num_rows
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array([0] * n, type=pa.int32()), pa.array([""] * n, type=pa.string())], names=["doc_id", "text", "n_entities", "kinds"])
 
-    changed = found.select("doc_id", "key", "text").join(maps, "key").select("doc_id", "text", "own").mapInArrow(replaced, schema)
+    changed = found.select("doc_id", "key", "text").join(maps.hint("merge"), "key").select("doc_id", "text", "own").mapInArrow(replaced, schema)
     return changed.unionByName(rows.select("doc_id", "text").mapInArrow(untouched, schema))

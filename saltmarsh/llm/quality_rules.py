@@ -94,7 +94,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("__label")).where("__id is not null and __label is not null")
     good = marks.groupBy("__id").agg(F.avg("__label").alias("__label")).where("__label >= 0.5").select("__id", F.lit(1).alias("__good"))
     # The join deals out texts, not their hashes, which are larger.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good, F.col("doc_id") == F.col("__id"), "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     texts = texts.select(F.col("__good").isNotNull().alias("good"), hashes(F.col("text")).alias("__w"))
     right, size = after("__w", 1)
     grams = F.concat(F.transform("__w", bucket), F.transform(joined(F.col("__w"), right, size), bucket))
