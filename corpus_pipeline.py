@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of every group the document with the smallest doc_id stays, once."""
     groups = simhash.near_duplicates(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(first.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
     return kept.dropDuplicates(["doc_id"])
 
 
