@@ -38,6 +38,16 @@ def rolling_mean(v: Column, n: int, least: int | None = None, key: str = "series
     return F.when(F.count(v).over(own) >= (least or n), F.avg(v).over(own))
 
 
+def long_mean(v: Column, n: int, key: str = "series", order: str = "d") -> Column:
+    """Mean of the last n rows (all, if fewer) from running sums: a frame of n rows costs n steps a row, this one two.
+
+    ``v`` has no nulls.
+    """
+    total, rows = F.sum(v).over(so_far(key, order)), F.count(F.lit(1)).over(so_far(key, order))
+    before = F.sum(v).over(by(key, order).rowsBetween(Window.unboundedPreceding, -n))
+    return (total - F.coalesce(before, F.lit(0.0))) / F.least(rows, F.lit(n))
+
+
 def rolling_std(v: Column, n: int, least: int | None = None, key: str = "series", order: str = "d") -> Column:
     own = last_rows(n, key, order)
     return F.when(F.count(v).over(own) >= (least or n), F.stddev_samp(v).over(own))

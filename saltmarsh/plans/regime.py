@@ -64,7 +64,7 @@ def statistics(roles: DataFrame) -> DataFrame:
         "series", "d", "v", "n",
         windows.zscore(v, 252, guard=30).alias("z"),
         F.when(F.col("n") >= F.col("roc_least"), roc).alias("roc"),
-        (v - F.avg(v).over(windows.last_rows(1260))).alias("gap"),
+        (v - windows.long_mean(v, 1260)).alias("gap"),
         windows.rank_among(F.when(F.col("series") == "VIX", v), 252, 1).alias("pct"),
     )
 
