@@ -92,7 +92,7 @@ def sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             kinds = features(*raw(plain(part.column("text"))))
             by_kind = [np.split(ids, np.cumsum(counts)[:-1]) for ids, counts in kinds]
             ids, weights = [], []
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "__scored", 3 << 20):
+            for part in pieces(batch, "__scored", 1 << 20):
                 odds = log_odds(plain(part.column("__scored")), shared.value)
                 p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], names=[*names, "__score"])
