@@ -32,9 +32,9 @@ ROLES = (
 )
 
 
-def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def roles(spark: SparkSession, sf_dir: str, which: tuple = ROLES) -> DataFrame:
     both = tables.orders(spark, sf_dir).withColumn("src", F.lit("orders")).unionByName(tables.lines(spark, sf_dir).withColumn("src", F.lit("line")))
-    names = spark.createDataFrame(ROLES, "role string, src string, series string, factor double, offset double")
+    names = spark.createDataFrame(which, "role string, src string, series string, factor double, offset double")
     return both.join(F.broadcast(names), ["src", "series"]).select(F.col("role").alias("series"), "d", (F.col("v") * F.col("factor") + F.col("offset")).alias("v"))
 
 
@@ -133,8 +133,12 @@ def capped_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.capped(rows, "strength", "a", "b", 9, 2, {"5-LOW": 1}).select("place", "a", "b", "strength")
 
 
-VALUES = ", ".join(f"('{a}', '{b}', '{c}', cast({d!r} as double), cast({e!r} as double))" for a, b, c, d, e in ROLES)
-ROLE_SQL = f"role as (select m.role as series, s.d, s.v * m.factor + m.off as v from (select 'orders' as src, * from ser union all select 'line', * from line) s join (values {VALUES}) m(role, src, series, factor, off) on m.src = s.src and m.series = s.series)"
+def role_sql(which: tuple) -> str:
+    values = ", ".join(f"('{a}', '{b}', '{c}', cast({d!r} as double), cast({e!r} as double))" for a, b, c, d, e in which)
+    return f"role as (select m.role as series, s.d, s.v * m.factor + m.off as v from (select 'orders' as src, * from ser union all select 'line', * from line) s join (values {values}) m(role, src, series, factor, off) on m.src = s.src and m.series = s.series)"
+
+
+ROLE_SQL = role_sql(ROLES)
 
 
 def _pair(name: str, a: str, b: str, op: str) -> str:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from saltmarsh.plans import model_queries
+from saltmarsh.plans import rule_queries
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("orders", "lineitem", "events")
@@ -19,11 +19,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(model_queries.ORACLE))
+@pytest.mark.parametrize("name", list(rule_queries.ORACLE))
 def test_same_rows_as_sql(spark, duck, name):
-    df = model_queries.QUERIES[name](spark, DIR)
+    df = rule_queries.QUERIES[name](spark, DIR)
     names = sorted(df.columns)
-    cursor = duck.execute(model_queries.ORACLE[name])
+    cursor = duck.execute(rule_queries.ORACLE[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == names
     want = sorted((tuple(row[columns.index(c)] for c in names) for row in cursor.fetchall()), key=str)
