@@ -159,14 +159,18 @@ def mix_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with every row as often as its rate says."""
+    """``docs`` with every row as often as its rate says.
+
+    Posteriors are computed once and written beside the row: the fit reads them alone, and the filter on
+    copies and the explode then see stored columns.  Over computed ones both would be pushed below the
+    projection, and every posterior computed again for each mention of it.
+    """
     targets = targets or TARGETS
     model = train(docs, labels, domain, targets)
     if not model.domains:
         return docs
-    names = docs.columns
-    table = model.with_posteriors(docs.select("text")).drop("text")
-    pulls = fit(written(table, "members"), model.domains, targets)
-    rated = model.with_posteriors(docs.select(*names)).withColumn("__rate", rate(model.domains, pulls))
-    taken = rated.withColumn("__copies", copies(F.col("__rate"), "doc_id", "text")).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    table = written(model.with_posteriors(docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"))).drop("text"), "members")
+    pulls = fit(table, model.domains, targets)
+    often = copies(rate(model.domains, pulls), F.col("__row.doc_id"), F.col("__row.text"))
+    taken = table.withColumn("__copies", often.cast("int")).where("__copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
