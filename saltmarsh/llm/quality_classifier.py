@@ -157,12 +157,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("label = 0").orderBy(*order).limit(sample // 2).unionByName(marks.where("label = 1").orderBy(*order).limit(sample // 2))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    got = rows.mapInArrow(feature_rows, "doc_id long, label int, ids binary, weights binary").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(feature_rows, "doc_id long, label int, ids binary, weights binary").toArrow()
     marks.unpersist()
-    ids = [np.frombuffer(x, dtype=np.int32) for x in got["ids"].to_pylist()]
-    weights = [np.frombuffer(x, dtype=np.float32) for x in got["weights"].to_pylist()]
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    marked = got["label"].to_numpy().astype(np.int64)[order]
+    ids, weights = ([np.frombuffer(column[int(i)].as_py(), dtype=kind) for i in order] for column, kind in ((got["ids"], np.int32), (got["weights"], np.float32)))
+    del got
+    pa.default_memory_pool().release_unused()  # the driver keeps one copy of the sample
     share = shares.get(1, 0) / max(sum(shares.values()), 1)
-    return fit(ids, weights, got["label"].to_numpy().astype(np.int64), min(max(share, 1e-6), 1 - 1e-6))
+    return fit(ids, weights, marked, min(max(share, 1e-6), 1 - 1e-6))
 
 
 def log_odds(texts: pa.StringArray, model: Model) -> np.ndarray:
