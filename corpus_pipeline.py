@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import mixing, packing, quality_classifier, secrets_scan, simhash
+from saltmarsh.llm import mixing, near_copies, packing, quality_classifier, secrets_scan
 from saltmarsh.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,11 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group the document with the smallest doc_id stays, once."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"])
+    """Of every group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) one row stays, the one with the smallest doc_id."""
+    return near_copies.first_of_each(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
