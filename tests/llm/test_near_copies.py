@@ -47,3 +47,25 @@ def test_blocks_of_a_large_group_lose_no_link(spark):
     df = spark.createDataFrame([*chain, (100, "something else altogether", "en", "s", 1)], ROW)
     assert jaccard(chain[0][1], chain[-1][1]) < 0.1
     assert {r["doc_id"] for r in near_copies.first_of_each(df, block=8).collect()} == {0, 100}
+
+
+def test_rows_with_null_or_repeated_ids_are_rows_of_their_own(spark):
+    rows = [
+        (None, "a clean and unique text about the river", "en", "s", 1),
+        (None, "another text that has nothing in common with it", "en", "s", 1),
+        (5, "the fifth text speaks of bread and butter", "en", "s", 1),
+        (5, "a very different matter under the same number", "en", "s", 1),
+        (3, "first of a group of copies", "en", "s", 1),
+        (7, "first of a group of copies", "en", "t", 1),
+        (None, "first of a group of copies", None, "s", 1),
+        (7, "this row shares an id with a copy", "en", "s", 1),
+        (8, "repeated whole", "en", None, 1),
+        (8, "repeated whole", "en", None, 1),
+        (None, None, None, None, None),
+        (9, "", None, None, 0),
+    ]
+    df = spark.createDataFrame(rows, ROW)
+    want = sorted([rows[0], rows[1], rows[2], rows[3], rows[4], rows[7], rows[8], rows[11]], key=str)
+    for some in (df, df.repartition(5)):
+        assert sorted(map(tuple, cp.near_duplicates(spark, some, "").collect()), key=str) == want
+    assert cp.near_duplicates(spark, df.limit(0), "").count() == 0
