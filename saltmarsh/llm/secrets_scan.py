@@ -3,7 +3,7 @@
 The patterns give the base spans.  Beside them, the value after a credential word and a separator (or in
 the password place of a URL) is cut, by dynamic programming, into the cheapest row of words, dates,
 repeats, keyboard walks, sequences and brute-force spans; a value that needs at least 10^``GUESSES``
-guesses is a secret of kind "guess", unless a base span holds it.  Spans are code points, end exclusive,
+guesses is a secret of kind "guess", unless one base span holds it whole.  Spans are code points, end exclusive,
 from the start of the match (assign, access, hex) or of the value (guess).
 
 Null texts are empty texts and have no secret; repeated rows are scanned as rows of their own; an empty
@@ -39,7 +39,7 @@ CONTEXT = re.compile(
 )
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]+:([^\s:/@]+)@")
 #: Texts without a match of this, which never misses one of the above, are not looked at again.
-MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|://[^\s:/@]+:[^\s:/@]+@|(?i:pass|pwd|pin|cred|bearer|auth|login|key)[A-Za-z]*[\"']?(?:\x20*(?::=|=>|->|[:=])|\x20+(?:is|was)\x20)"
+MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|://[^\s:/@]+:[^\s:/@]+@|(?i:pass|pwd|pin|cred|bearer|auth|login|key)[A-Za-z]*[\"']?(?:\x20*(?::=|=>|->|[:=])|\x20+(?i:is|was)\x20)"
 
 #: A value is a secret from this many decimal digits of guesses on.
 GUESSES = 10.0
@@ -137,7 +137,7 @@ def guessed_spans(text: str, base: list[Span], digits: float = GUESSES) -> list[
             a, b = m.span(1)
             while b > a and text[b - 1] in ".!?)]}|":
                 b -= 1
-            if b - a < 6 or (a, b) in found or any(s.start < b and a < s.end for s in base):
+            if b - a < 6 or (a, b) in found or any(s.start <= a and b <= s.end for s in base):
                 continue
             if guess_digits(text[a:b]) >= digits:
                 found[a, b] = Span(a, 3, b, a, b)
