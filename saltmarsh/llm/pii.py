@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers, IBANs, US social security
-numbers, and names (after a title, or a known given name before a surname).  Every entity gets a
+numbers, and names (after a title, or a known given name before a surname, in capitals too; and the names so found
+wherever they stand alone in the same text).  Every entity gets a
 surrogate drawn from a keyed hash of its kind and canonical value: the same entity has the same surrogate
 everywhere, in the case and punctuation of each mention; names keep gender and script, numbers their
 length and check digits, addresses their private range.  Given names and surnames are entities of their
@@ -51,7 +52,9 @@ GIVEN = {name.casefold(): key for key, names in NAMES.items() if key[0] != "s" f
 FEMALE_TITLES = frozenset("mrs ms miss madame mme frau señora sra lady".split())
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Madame|Mme|Monsieur|Señora|Señor|Sra|Lady|Sir)"
 WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+CAPITALS = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]{2,}(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ]{2,})?"
 FIRST = "|".join(sorted({name for key, names in NAMES.items() if key[0] != "s" for name in names}))
+FIRST_CAPITALS = FIRST.upper()
 
 PATTERNS = (
     ("email", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")),
@@ -60,10 +63,10 @@ PATTERNS = (
     ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}[\x20-]\d{4}[\x20-]\d{4}[\x20-]\d{1,7}|\d{4}[\x20-]\d{6}[\x20-]\d{5})(?![\w-])", re.ASCII)),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d(?:[\x20.-]?\d){5,12}|\(\d{2,4}\)[\x20.-]?\d{3,4}[\x20.-]\d{3,4}|\d{3}[\x20.-]\d{3}[\x20.-]\d{4})(?![\w-])", re.ASCII)),
-    ("name", re.compile(rf"(?<!\w)(?:(?P<title>{TITLE})\.?\x20+(?P<titled>{WORD}(?:\x20{WORD})?)|(?P<first>{FIRST})\x20(?P<last>{WORD}))(?!\w)")),
+    ("name", re.compile(rf"(?<!\w)(?:(?P<title>{TITLE})\.?\x20+(?P<titled>(?:{WORD}|{CAPITALS})(?:\x20(?:{WORD}|{CAPITALS}))?)|(?P<first>{FIRST})\x20(?P<last>{WORD}|{CAPITALS})|(?P<first_capitals>{FIRST_CAPITALS})\x20(?P<last_capitals>{CAPITALS}))(?!\w)")),
 )
 #: Texts without a match of this have no mention.
-MAYBE = rf"[A-Za-z0-9]@[A-Za-z0-9]|\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d|\d{{13}}|\d{{3,4}}[ -]\d{{2,6}}[ -]\d|\+\d|\(\d{{2,4}}\)|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|[A-Z]{{2}}\d\d[ A-Z0-9]|{TITLE}\.? |(?:{FIRST}) "
+MAYBE = rf"@[A-Za-z0-9]|\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d|\d{{13}}|\d{{3,4}}[ -]\d{{2,6}}[ -]\d|\+\d|\(\d{{2,4}}\)|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|[A-Z]{{2}}\d\d[ A-Z0-9]|{TITLE}\.? |(?:{FIRST}|{FIRST_CAPITALS}) "
 
 
 def luhn(digits: str) -> bool:
@@ -107,6 +110,16 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 value = value.lower()
             taken.append((a, b))
             found.append((a, b, kind, value))
+    names: dict[str, str] = {}
+    for a, b, kind, value in sorted(found):
+        if kind.startswith(("given-", "surname-")):
+            names.setdefault(value, kind)
+    if names:  # the same names again, alone
+        again = "|".join(re.escape(x) for value in names for x in sorted({value.title(), value.upper()}))
+        for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text):
+            a, b = m.span()
+            if not any(a < y and x < b for x, y in taken):
+                found.append((a, b, names[m[0].casefold()], m[0].casefold()))
     return sorted(found)
 
 
@@ -115,7 +128,8 @@ def name_parts(m: re.Match) -> list[tuple[int, int, str, str]]:
     if title:
         at, words = m.start("titled"), m["titled"].split(" ")
     else:
-        at, words = m.start("first"), [m["first"], m["last"]]
+        how = "" if m["first"] else "_capitals"
+        at, words = m.start(f"first{how}"), [m[f"first{how}"], m[f"last{how}"]]
     out = []
     for i, word in enumerate(words):
         known = GIVEN.get(word.casefold())
