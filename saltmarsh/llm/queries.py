@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import ann, html_extract, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets_scan, simhash
 
+#: Key of the surrogates where the session sets none; real data need a secret one in spark.saltmarsh.surrogates.key.
+DEMONSTRATION_KEY = "not a secret"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -53,7 +56,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.saltmarsh.surrogates.key", DEMONSTRATION_KEY)
+    return pii.surrogates(table(spark, sf_dir, "documents"), key.encode())
 
 
 def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def test_surrogates_agree_and_stay_apart(spark):
         "",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), SHORT)
-    got = {r["doc_id"]: r for r in pii.surrogates(df).collect()}
+    got = {r["doc_id"]: r for r in pii.surrogates(df, b"key").collect()}
     assert len(got) == len(texts) and [got[i]["text"] for i in (3, 4, 5)] == texts[3:]
     for real in ("james.smith@example.com", "James Smith", "Mary Brown", "4111 1111 1111 1111", "10.0.0.7", "555-0100"):
         assert not any(real in (r["text"] or "") for r in got.values())

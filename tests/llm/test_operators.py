@@ -50,7 +50,7 @@ CALLS = {
     "secrets": lambda d, lab: secrets_scan.scan(d),
     "simhash": lambda d, lab: simhash.near_duplicates(d),
     "mixing": lambda d, lab: mixing.mix_rates(d, lab),
-    "pii": lambda d, lab: pii.surrogates(d),
+    "pii": lambda d, lab: pii.surrogates(d, b"key"),
     "rules": lambda d, lab: quality_rules.judge(d, lab),
 }
 
