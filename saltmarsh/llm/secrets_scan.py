@@ -1,14 +1,16 @@
-"""Secret scan: three exact patterns, and guess costs of values that stand where a credential stands.
-
-The patterns give the base spans.  Beside them, the value after a credential word and a separator (or in
-the password place of a URL) is cut, by dynamic programming, into the cheapest row of words, dates,
-repeats, keyboard walks, sequences and brute-force spans; a value that needs at least 10^``GUESSES``
-guesses is a secret of kind "guess", unless one base span holds it whole.  Spans are code points, end exclusive,
+"""Secret scan: three exact patterns, and guess costs of all values that stand where a credential stands.
+
+The patterns give the base spans.  Every value after a credential word and a separator, in the password
+place of a URL, or assigned in a base span, is cut by dynamic programming into the cheapest row of words,
+dates, repeats, keyboard walks, sequences and brute-force spans.  Words are a short list of frequent passwords and
+then the ``DICTIONARY`` most frequent words of the scanned corpus itself, counted over all of its texts.  A
+value that needs 10^``GUESSES`` guesses or more (exactly as many: a secret) is a span of kind "guess", unless one base span holds it whole;
+the cost of every value, base ones too, is in ``costs``.  Spans are code points, end exclusive,
 from the start of the match (assign, access, hex) or of the value (guess).
 
 Null texts are empty texts and have no secret; repeated rows are scanned as rows of their own; an empty
 table gives an empty result; only the key columns asked for and the text are read.  Values are costed
-whole, in time linear in their length.
+whole, in time linear in their length; words of equal count are ranked by their letters.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +46,9 @@ MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{2
 
 #: A value is a secret from this many decimal digits of guesses on.
 GUESSES = 10.0
+#: Words of the corpus that count as guessable, the most frequent ones, and their lengths.
+DICTIONARY = 20_000
+LENGTHS = (4, 16)
 #: Digits of guesses for one more segment.
 SEGMENT = 0.3
 
@@ -62,15 +68,14 @@ ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrs
 LEET = str.maketrans("@4831!0$57", "aaebiiosst")
 
 RANK = {word: i + 1 for i, word in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
 NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 NEXT |= {(b, a) for a, b in NEXT}
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?[01]?\d[-/._]?[0-3]?\d|[0-3]?\d[-/._][01]?\d[-/._](?:19|20)?\d\d|(?:19|20)\d\d", re.ASCII)
 UNITS = 6
 
 
-def guess_digits(value: str) -> float:
-    """Decimal digits of the guesses that the cheapest segmentation of ``value`` takes."""
+def guess_digits(value: str, ranks: dict[str, int] = RANK) -> float:
+    """Decimal digits of the guesses that the cheapest segmentation of ``value`` takes; ``ranks`` of words of at most 16 letters."""
     n = len(value)
     lower = value.lower()
     if len(lower) != n:
@@ -78,9 +83,9 @@ def guess_digits(value: str) -> float:
     leet = lower.translate(LEET)
     ways: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for i in range(n):
-        for size in range(3, min(LONGEST, n - i) + 1):
+        for size in range(3, min(LENGTHS[1], n - i) + 1):
             for folded, extra in ((lower, 0.0), (leet, 0.6)):
-                if rank := RANK.get(folded[i : i + size]):
+                if rank := ranks.get(folded[i : i + size]):
                     raised = 0.0 if value[i : i + size] == lower[i : i + size] else 0.3 if value[i].isupper() else 1.0
                     ways[i].append((i + size, math.log10(rank + 1) + extra + raised))
                     break
@@ -130,23 +135,32 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def guessed_spans(text: str, base: list[Span], digits: float = GUESSES) -> list[Span]:
-    found = {}
+def costed(text: str, base: list[Span], ranks: dict[str, int] = RANK) -> list[tuple[int, int, float]]:
+    """(start, end, digits of guesses) of all values that stand where a credential stands, in order."""
+    found = {(s.value_start, s.value_end) for s in base if s.order == 0}
     for pattern in (CONTEXT, URL):
         for m in pattern.finditer(text):
             a, b = m.span(1)
             while b > a and text[b - 1] in ".!?)]}|":
                 b -= 1
-            if b - a < 6 or (a, b) in found or any(s.start <= a and b <= s.end for s in base):
-                continue
-            if guess_digits(text[a:b]) >= digits:
-                found[a, b] = Span(a, 3, b, a, b)
-    return list(found.values())
+            if b - a >= 6:
+                found.add((a, b))
+    return [(a, b, guess_digits(text[a:b], ranks)) for a, b in sorted(found)]
+
+
+def guessed_spans(base: list[Span], costs: list[tuple[int, int, float]], digits: float = GUESSES) -> list[Span]:
+    """Values of at least ``digits`` that no base span holds whole."""
+    starts = [s.start for s in base]
+    reach = [s.end for s in base]  # the furthest end of this span and those before
+    for i in range(1, len(reach)):
+        reach[i] = max(reach[i], reach[i - 1])
+    held = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+    return [Span(a, 3, b, a, b) for a, b, cost in costs if cost >= digits and not held(a, b)]
 
 
-def find_spans(text: str, digits: float = GUESSES) -> list[Span]:
+def find_spans(text: str, digits: float = GUESSES, ranks: dict[str, int] = RANK) -> list[Span]:
     base = base_spans(text)
-    return sorted(base + guessed_spans(text, base, digits))
+    return sorted(base + guessed_spans(base, costed(text, base, ranks), digits))
 
 
 def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -159,8 +173,19 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
+def corpus_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of the listed words and then of the corpus' own, counted over all rows; ``most`` words reach the driver."""
+    own = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word")).where(F.length("word").between(*LENGTHS))
+    counted = own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    ranks = dict(RANK)
+    for r in counted.collect():
+        ranks.setdefault(r["word"], len(ranks) + 1)
+    return ranks
+
+
 def scan(docs: DataFrame, digits: float = GUESSES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_guess of every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess and costs (start:end:digits of each value) of every row."""
+    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs))  # DICTIONARY words
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     nothing = ("0", hashlib.sha256(b"").hexdigest())
 
@@ -170,18 +195,21 @@ def scan(docs: DataFrame, digits: float = GUESSES) -> DataFrame:
                 column = plain(part.column("text"))
                 n = len(column)
                 counts = [[0] * n for _ in KINDS]
-                sums, joined = [nothing[1]] * n, [""] * n
+                sums, joined, costs = [nothing[1]] * n, [""] * n, [""] * n
                 for i, text in hits(column):
-                    spans = find_spans(text, digits)
+                    base = base_spans(text)
+                    values = costed(text, base, ranks.value)
+                    spans = sorted(base + guessed_spans(base, values, digits))
                     for s in spans:
                         counts[s.order][i] += 1
                     sums[i] = hashlib.sha256(",".join(str(s) for s in spans if s.order < 3).encode()).hexdigest()
                     joined[i] = ",".join(map(str, spans))
+                    costs[i] = ",".join(f"{a}:{b}:{cost:.2f}" for a, b, cost in values)
                 numbers = [pa.array(x, type=pa.int64()) for x in counts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers[:3], pa.array(sums), pa.array(joined), numbers[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers[:3], pa.array(sums, type=pa.string()), pa.array(joined, type=pa.string()), numbers[3], pa.array(costs, type=pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "costs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return texts.mapInArrow(rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, costs string")
 
 
 def hits(texts: pa.StringArray) -> Iterator[tuple[int, str]]:
@@ -191,6 +219,7 @@ def hits(texts: pa.StringArray) -> Iterator[tuple[int, str]]:
 
 def redacted(docs: DataFrame, digits: float = GUESSES) -> DataFrame:
     """``docs`` with the secrets in its column text replaced; all rows and columns stay."""
+    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs))  # DICTIONARY words
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +227,7 @@ def redacted(docs: DataFrame, digits: float = GUESSES) -> DataFrame:
             for part in pieces(batch, "text"):
                 texts = part.column(at).to_pylist()
                 for i, text in hits(plain(part.column(at))):
-                    texts[i] = redact(text, find_spans(text, digits))
+                    texts[i] = redact(text, find_spans(text, digits, ranks.value))
                 yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string()) if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
     return docs.mapInArrow(rows, docs.schema)

@@ -1,6 +1,7 @@
 """Values that a base span holds in part, and texts that the first look must not pass over."""
 
 import itertools
+import math
 import re
 
 import pytest
@@ -31,3 +32,68 @@ def test_no_match_is_passed_over(spark):
     assert len(texts) > 3000
     got = secrets_scan.redacted(spark.createDataFrame(list(enumerate(texts)), SHORT)).collect()
     assert [r["text"] for r in got if "x9Kq2vLm8Rt4" in r["text"]] == []
+
+
+def cheapest(value, ranks):
+    """Least cost over every segmentation, tried one by one."""
+    lower, n = value.lower(), len(value)
+    neighbours = lambda a, b: any(a + b in row or b + a in row for row in secrets_scan.ROWS)
+
+    def one(a, b):
+        part, size, costs = value[a:b], b - a, [float(b - a)]
+        if 3 <= size <= 16:
+            raised = 0.0 if part == lower[a:b] else 0.3 if part[0].isupper() else 1.0
+            if lower[a:b] in ranks:
+                costs.append(math.log10(ranks[lower[a:b]] + 1) + raised)
+            elif lower[a:b].translate(secrets_scan.LEET) in ranks:
+                costs.append(math.log10(ranks[lower[a:b].translate(secrets_scan.LEET)] + 1) + 0.6 + raised)
+        m = secrets_scan.DATE.match(value, a)
+        if m and m.end() == b:
+            costs.append(2.1 if size == 4 else 4.6)
+        pairs = [neighbours(lower[i], lower[i + 1]) for i in range(a, b - 1)]
+        whole = (a == 0 or not neighbours(lower[a - 1], lower[a])) and (b == n or not neighbours(lower[b - 1], lower[b]))
+        if size >= 3 and all(pairs) and whole:
+            costs.append(math.log10(47 * size))
+        for unit in range(1, 7):
+            times = size // unit
+            if size == unit * times and part == part[:unit] * times and (times >= 3 or times == 2 and unit >= 3) and value[b : b + unit] != part[:unit]:
+                costs.append(unit + math.log10(times))
+        return min(costs)
+
+    best = [0.0]
+    for b in range(1, n + 1):
+        best.append(min(best[a] + one(a, b) + 0.3 for a in range(b)))
+    return best[n]
+
+
+def test_costs_are_those_of_the_cheapest_segmentation():
+    import random
+
+    rng, ranks = random.Random(5), {**secrets_scan.RANK, "correct": 900, "horse": 901, "battery": 902}
+    parts = ["correct", "Horse", "b4ttery", "1999", "qwert", "aaaa", "abcabc", "x9", "K!", "2021-03-04", "zz", "7"]
+    for _ in range(300):
+        value = "".join(rng.choices(parts, k=rng.randrange(1, 5)))
+        assert abs(secrets_scan.guess_digits(value, ranks) - cheapest(value, ranks)) < 1e-9, value
+
+
+def test_every_credential_value_is_costed_and_the_cost_decides(spark):
+    texts = ["password=hunter2secret", "my passphrase is x9Kq2vLm8Rt4 ok", "pin: 123456", "ftp://joe:Zp7hW0sQe3Yb@host", "nothing", None, "password=" + "a1B!" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), SHORT)
+    got = {r["doc_id"]: r for r in secrets_scan.scan(df).collect()}
+    assert [len(got[i]["costs"].split(",")) if got[i]["costs"] else 0 for i in range(7)] == [1, 1, 1, 1, 0, 0, 1]
+    for r in got.values():
+        base = secrets_scan.base_spans(texts[r["doc_id"]] or "")
+        for cost in filter(None, r["costs"].split(",")):
+            a, b, digits = cost.split(":")
+            strong, held = float(digits) >= secrets_scan.GUESSES, any(s.start <= int(a) and int(b) <= s.end for s in base)
+            assert (f"guess:{a}:{b}" in r["spans"]) == (strong and not held)
+    assert [got[i]["n_guess"] for i in (1, 2, 3)] == [1, 0, 1]
+    assert all(r["n_guess"] == 0 for r in secrets_scan.scan(df, digits=1e9).collect())  # without the method's verdict nothing is added
+
+
+def test_words_of_the_corpus_make_a_value_guessable(spark):
+    phrase = "passphrase: riverbankmeadowlark"
+    alone = secrets_scan.scan(spark.createDataFrame([(0, phrase)], SHORT)).first()
+    known = [(i, "riverbank and meadowlark by the river") for i in range(1, 9)]
+    among = secrets_scan.scan(spark.createDataFrame([(0, phrase), *known], SHORT)).where("doc_id = 0").first()
+    assert alone["n_guess"] == 1 and among["n_guess"] == 0
