@@ -1,20 +1,24 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
-The standard library's parser streams its events; text between block tags is a line, with the number of
-tags in it, its linked text, and whether it stands inside an element that is never part of an article
-(navigation, header or footer of a page, aside, form, script, style, dialogs, and elements whose class,
-id or role says menu, advert, notice, sidebar, comments and so on).  The ratio of text to tags of every
-line outside such elements is smoothed with a Gaussian; lines above a threshold made from mean and spread
-form clusters; the clusters' best container (article, main, or the innermost element that holds most of
-their text) is the content region, and all lines in it outside the excluded elements are the text.
-
-Null and empty pages give an empty text; pages without markup are their text; repeated rows are rows of
-their own; an empty table gives an empty result; other columns are left out.  Nothing is cut off.
+The standard library's parser streams its events; text between block tags is a line.  A line's score is its
+text that is no link, divided by its tags, with a bonus inside article and main elements and for paragraphs.
+Lines in elements that the page itself names as something else (navigation, aside, form, header and footer of
+the page, hidden elements, and elements whose class, id or role says advert, menu, comments and so on) score
+zero; inside an article a less certain word halves the score instead, and a word on an element around
+the page's main heading says nothing.  The scores in page order are smoothed with a Gaussian; a threshold
+from clustering the smoothed scores into low and high ones, within ``BOUNDS``, leaves contiguous regions of high
+lines; a region begins and ends at a line that reaches the threshold by itself (headings may begin it), and
+short lines between stay.  All regions are the text, in page order.  Where no line is high, all lines with a score are.
+
+Null and empty pages give an empty text; pages without markup are their text; scores at the threshold
+count as high; repeated rows are rows of their own; an empty table gives an empty result; other columns are
+left out.  Pages are read whole, in time linear in their length; nothing is cut off.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,90 +27,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import pieces
+
 # Names of elements.
 UNSEEN = frozenset("script style noscript template head title svg math canvas iframe object audio video map select option datalist button textarea input".split())
+IN_HEAD = frozenset("head title meta link style script base noscript template html".split())
 CHROME = frozenset("nav footer aside form menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
-#: Words in a class, id or role of what is not the article.
-OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side|aside|complementary|rail|widget|nav|navbar|navigation|menu|submenu|breadcrumbs?|pagination|pager|toc"
-    r"|header|masthead|topbar|toolbar|footer|bottom|contentinfo|copyright|legal|notices?|cookies?|consent|gdpr|alert|popup|modal|overlay|dialog|toast|newsletter|subscribe|subscription|signup|sign-up|login|register"
-    r"|search|form|social|share|sharing|follow|related|recommend(?:ed|ations)?|more-stories|trending|popular|comments?|commentlist|comment-list|disqus|discussion|repl(?:y|ies)|responses|respond|reviews?|hidden|skip|skip-link|sr-only|visually-hidden)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
-)
-CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# Words of a class, id or role.  Certain ones are never the article; the others are not outside of one.
+CERTAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar footer masthead"
+    " cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social comment comments commentlist disqus hidden complementary contentinfo".split()
+)
+LIKELY = frozenset(
+    "side aside rail widget toc header topbar toolbar bottom copyright legal notice notices alert overlay dialog toast signup login register search form follow related recommended recommendations trending popular"
+    " discussion replies reply responses respond review reviews skip".split()
+)
+#: First words of a class that says what else is on the page.
+ABOUT = frozenset("has no with without is not show".split())
+PARTS = re.compile(r"(?<=[a-z])(?=[A-Z])|[\s_-]+|(?<=\D)(?=\d)")
 
 SIGMA = 1.0
-#: A line is content above mean - SPREAD times the standard deviation of the smoothed ratios, and above LEAST.
-SPREAD = 0.6
-LEAST = 3.0
+#: Scores of lines inside article or main, and of paragraphs.
+ARTICLE, PARAGRAPH = 25.0, 6.0
+#: What an uncertain word inside an article leaves of the score.
+DOUBT = 0.5
+#: Least and greatest threshold: more text per tag is always content, less never.
+BOUNDS = (3.0, 12.0)
 
 
 class Line:
-    __slots__ = ("words", "tags", "linked", "path")
+    __slots__ = ("words", "size", "tags", "linked", "inside", "heading", "prose", "excluded", "marker")
 
-    def __init__(self, path: tuple[int, ...]):
+    def __init__(self):
         self.words: list[str] = []
-        self.tags = 0
-        self.linked = 0
-        self.path = path
+        self.size = self.tags = self.linked = 0
+        self.inside = self.heading = self.prose = self.excluded = False
+        self.marker = 0
+
+
+class Marker:
+    """An element with a word in its class, id or role; 0 is none."""
+
+    __slots__ = ("outer", "certain", "titles")
+
+    def __init__(self, outer: int, certain: bool, titles: int):
+        self.outer, self.certain, self.titles = outer, certain, titles
+
+
+def said(value: str) -> int:
+    """2 if a class, id or role says for certain that this is no article, 1 if it does so likely, else 0."""
+    most = 0
+    for name in value.split():
+        parts = [p.lower() for p in PARTS.split(name) if p]
+        if parts and parts[0] not in ABOUT:
+            most = max(most, 2 if CERTAIN.intersection(parts) else 1 if LIKELY.intersection(parts) else 0)
+    return most
 
 
 class Events(HTMLParser):
-    """Collects the lines of a page outside excluded elements."""
+    """Collects the lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, excluded
-        self.kinds: dict[int, str] = {}
-        self.excluded = 0
-        self.links = 0
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, unseen, excluded, marker before it
+        self.names: Counter[str] = Counter()
+        self.markers = [Marker(0, False, 0)]
+        self.around: set[int] = set()  # markers with a main heading inside
+        self.unseen = self.excluded = self.links = self.titles = self.marker = 0
         self.line: Line | None = None
         self.parts: list[str] = []
 
     def end_line(self) -> None:
         if self.line is not None:
-            text = "".join(self.parts).split()
-            if text:
-                self.line.words = text
+            self.line.words = "".join(self.parts).split()
+            if self.line.words:
+                self.line.size = sum(map(len, self.line.words))
                 self.lines.append(self.line)
         self.line, self.parts = None, []
 
     def here(self) -> Line:
         if self.line is None:
-            self.line = Line(tuple(number for _, number, _ in self.open))
+            line = self.line = Line()
+            line.inside = any(self.names[n] for n in CONTENT)
+            line.heading = any(self.names[n] for n in HEADINGS)
+            line.prose = any(self.names[n] for n in PROSE)
+            line.excluded, line.marker = self.excluded > 0, self.marker
         return self.line
 
     def leaves_article(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in UNSEEN or tag in CHROME:
-            return True
-        if tag in ("html", "body"):
-            return False
-        if tag == "header" and not any(name in CONTENT for name, _, _ in self.open):
+        if tag in CHROME or tag == "header" and not any(self.names[n] for n in CONTENT):
             return True
         for name, value in attrs:
-            if name in ("hidden",) or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and value and tag not in CONTENT and not tag[0] == "h" and OUTSIDE.search(CAMEL.sub("-", value)):
+            if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.names["head"] and tag not in IN_HEAD:
+            self.handle_endtag("head")
         if tag in BLOCKS:
             self.end_line()
-        elif tag in ("br", "wbr") or tag in UNSEEN:
-            if tag != "wbr":
-                self.parts.append(" ")
+        elif tag == "br":
+            self.parts.append(" ")
         if tag in VOID:
-            if not self.excluded:
+            if not self.unseen:
                 self.here().tags += 1
             return
         for closed in CLOSED_BY.get(tag, ()):
@@ -114,13 +149,19 @@ class Events(HTMLParser):
                 self.handle_endtag(closed)
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.handle_endtag("p")
-        out = self.leaves_article(tag, attrs)
-        number = len(self.kinds)
-        self.kinds[number] = tag
-        self.open.append((tag, number, out))
+        unseen = tag in UNSEEN
+        out = tag not in ("html", "body") and self.leaves_article(tag, attrs)
+        self.open.append((tag, unseen, out, self.marker))
+        word = max((said(v) for n, v in attrs if n in ("class", "id", "role") and v), default=0) if tag not in HEADINGS and tag not in ("html", "body", "main") else 0
+        if word:
+            self.markers.append(Marker(self.marker, word == 2, self.titles))
+            self.marker = len(self.markers) - 1
+        self.names[tag] += 1
+        self.unseen += unseen
         self.excluded += out
         self.links += tag == "a"
-        if not self.excluded and tag not in BLOCKS:
+        self.titles += tag in ("h1", "main")
+        if not self.unseen and tag not in BLOCKS:
             self.here().tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -128,27 +169,48 @@ class Events(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def close_one(self) -> None:
+        tag, unseen, out, marker = self.open.pop()
+        self.names[tag] -= 1
+        self.unseen -= unseen
+        self.excluded -= out
+        self.links -= tag == "a"
+        if marker != self.marker:
+            if self.titles > self.markers[self.marker].titles:
+                self.around.add(self.marker)
+            self.marker = marker
+
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name == tag:
-                for closed, _, out in self.open[depth:]:
-                    self.excluded -= out
-                    self.links -= closed == "a"
-                del self.open[depth:]
-                return
-            if name in BLOCKS and tag not in BLOCKS:  # an inline end tag closes nothing outside its block
+        if not self.names[tag]:
+            return
+        if tag not in BLOCKS:  # an inline end tag closes nothing outside its block
+            for name, *_ in reversed(self.open):
+                if name == tag:
+                    break
+                if name in BLOCKS:
+                    return
+        while self.open:
+            last = self.open[-1][0]
+            self.close_one()
+            if last == tag:
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.excluded or not data:
+        if self.unseen or not data:
             return
         line = self.here()
         self.parts.append(data)
         if self.links:
-            line.linked += len(data.strip())
+            line.linked += len("".join(data.split()))
+
+    def finish(self) -> list[Line]:
+        self.close()
+        self.end_line()
+        while self.open:
+            self.close_one()
+        return self.lines
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -159,42 +221,65 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel, mode="valid")
 
 
+def threshold(smoothed: np.ndarray) -> float:
+    """Halfway between the centres of low and high scores, as logarithms, within the bounds."""
+    logs = np.log1p(smoothed)
+    low, high = logs.min(), logs.max()
+    for _ in range(20):
+        cut = (low + high) / 2
+        below = logs < cut
+        if not below.any() or below.all():
+            break
+        now = logs[below].mean(), logs[~below].mean()
+        if now == (low, high):
+            break
+        low, high = now
+    return float(np.clip(np.expm1((low + high) / 2), *BOUNDS))
+
+
+def scores(events: Events) -> tuple[np.ndarray, np.ndarray]:
+    """The score of every line, and whether it is marked, so that it must reach the threshold by itself."""
+    strength = [0]  # of the markers around a line: 0 none, 1 likely, 2 certain
+    for at, marker in enumerate(events.markers[1:], 1):
+        own = 0 if at in events.around else 1 + marker.certain
+        strength.append(max(own, strength[marker.outer]))
+    out, marked = np.zeros(len(events.lines)), np.zeros(len(events.lines), dtype=bool)
+    for i, line in enumerate(events.lines):
+        said_here = strength[line.marker]
+        marked[i] = said_here > 0 or line.excluded
+        if line.excluded or said_here == 2 or said_here == 1 and not line.inside:
+            continue
+        ratio = (line.size - min(line.linked, line.size)) / max(line.tags, 1)
+        out[i] = DOUBT * ratio if said_here else ratio + ARTICLE * line.inside + PARAGRAPH * (line.prose and ratio > 0)
+    return out, marked
+
+
+def chosen(own: np.ndarray, marked: np.ndarray, headings: np.ndarray) -> np.ndarray:
+    """Which lines are content."""
+    smoothed = smooth(own)
+    least = threshold(smoothed)
+    reached = own >= least
+    high = (smoothed >= least) & (~marked | reached)
+    keep = np.zeros(len(own), dtype=bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], smoothed >= least, [False]]).astype(int)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        while a < b and not reached[a] and not (headings[a] and not marked[a]):
+            a += 1
+        while a < b and not reached[b - 1]:
+            b -= 1
+        keep[a:b] = high[a:b]
+    return keep if keep.any() else (own > 0)
+
+
 def main_text(html: str) -> str:
     events = Events()
     events.feed(html)
-    events.close()
-    events.end_line()
-    lines = events.lines
+    lines = events.finish()
     if not lines:
         return ""
-    sizes = np.array([sum(map(len, x.words)) for x in lines], dtype=float)
-    linked = np.array([min(x.linked, s) for x, s in zip(lines, sizes, strict=True)])
-    ratios = smooth((sizes - linked) / np.maximum([x.tags for x in lines], 1))
-    content = (ratios >= max(min(LEAST, ratios.max()), ratios.mean() - SPREAD * ratios.std())) & (sizes > linked)
-    region = container(lines, sizes * content, events.kinds)
-    inside = [x for x in lines if region is None or region in x.path]
-    return " ".join(w for x in inside for w in x.words)
-
-
-def container(lines: list[Line], weights: np.ndarray, kinds: dict[int, str]) -> int | None:
-    """Number of the element with the content: the heaviest article or main, else the innermost with most of the weight."""
-    total: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for line, weight in zip(lines, weights.tolist(), strict=True):
-        for at, number in enumerate(line.path):
-            total[number] = total.get(number, 0.0) + weight
-            depth[number] = at
-    whole = weights.sum()
-    named = [n for n in total if kinds[n] in CONTENT and total[n] > 0]
-    if named:
-        outer = [n for n in named if kinds[n] == "main" and total[n] >= 0.5 * whole]
-        articles = [n for n in named if kinds[n] == "article"]
-        heaviest = max(articles, key=lambda n: (total[n], -n)) if articles else None
-        if heaviest is not None and total[heaviest] >= 0.5 * max(whole * 0.2, max(total[n] for n in named)):
-            return heaviest
-        return max(outer or named, key=lambda n: (total[n], -n))
-    holding = [n for n in total if total[n] >= 0.75 * whole and whole > 0 and kinds[n] in BLOCKS]
-    return max(holding, key=lambda n: (depth[n], -n)) if holding else None
+    own, marked = scores(events)
+    keep = chosen(own, marked, np.array([x.heading for x in lines]))
+    return " ".join(w for x, kept in zip(lines, keep.tolist(), strict=True) if kept for w in x.words)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -203,8 +288,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, "html"):
                 texts = [main_text(h) if h else "" for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
