@@ -25,7 +25,7 @@ FOLDS, HELD_OUT = 7, 2
 GRAM_BITS = 9 + 8 * ORDER
 #: Bytes of text in a block, about.
 BLOCK = 16 << 20
-#: Bytes of text that a task works on at once.
+#: Bytes of text that a task works on at once, at least.
 PIECE = 8 << 20
 
 GATHERED = "block long, word binary, gram long, n long"
@@ -81,30 +81,55 @@ def words_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
     return strings(data, starts, stops).dictionary_encode(), counts
 
 
-def gather_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the words and of the grams of each block with their training count (0: held out alone)."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about PIECE to 2 * BLOCK bytes of text, cut where a block ends if they can be."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def all_held() -> pa.RecordBatch:
+        out = pa.concat_batches(held)
+        held.clear()
+        return out
+
     for batch in batches:
-        for part in pieces(batch, "text", PIECE):
-            texts = pc.ascii_lower(plain(part.column("text")))
-            trained = part.column("trained").to_numpy(zero_copy_only=False)
+        for part in pieces(batch, "text", PIECE // 4):
             block = part.column("block").to_numpy()
-            words, counts = words_of(texts)
-            codes = words.indices.to_numpy()
-            size = max(len(words.dictionary), 1)
-            names, block_code = np.unique(block, return_inverse=True)
-            cell = np.repeat(block_code, counts).astype(np.int64) * size + codes
-            total = np.bincount(cell, minlength=0) if len(cell) else np.zeros(0, np.int64)
-            learned = np.bincount(cell[np.repeat(trained, counts)], minlength=len(total)) if len(cell) else total
-            cells = np.flatnonzero(total)
-            n = len(cells)
-            word_block = names[cells // size] if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word_block, type=pa.int64()), words.dictionary.take(pa.array(cells % size)), pa.nulls(n, pa.int64()), pa.array(learned[cells], type=pa.int64())], names=["block", "word", "gram", "n"])
-            whole = pa.RecordBatch.from_arrays([texts, pa.array(block_code), pa.array(trained)], names=["text", "code", "trained"])
-            some = [counted_grams(plain(own.column(0)), own.column(1).to_numpy(), own.column(2).to_numpy(zero_copy_only=False)) for own in pieces(whole, "text", PIECE // 4)]
-            keys, times = (np.concatenate(x) for x in zip(*some, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, times = added(keys[order], times[order])
-            yield pa.RecordBatch.from_arrays([pa.array(names[keys >> GRAM_BITS], type=pa.int64()), pa.nulls(len(keys), pa.binary()), pa.array(keys & ((1 << GRAM_BITS) - 1)), pa.array(times)], names=["block", "word", "gram", "n"])
+            if held and size >= PIECE and (size >= 2 * BLOCK or held[-1].column("block")[-1].as_py() != block[0]):
+                yield all_held()
+                size = 0
+            elif held and size >= PIECE and len(ends := np.flatnonzero(block[1:] != block[:-1])):
+                held.append(part.slice(0, int(ends[0]) + 1))
+                yield all_held()
+                part, size = part.slice(int(ends[0]) + 1), 0
+            held.append(part)
+            size += part.column("text").nbytes
+    if held:
+        yield all_held()
+
+
+def gather_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the words and of the grams of each block with their training count (0: held out alone)."""
+    for part in runs(batches):
+        texts = pc.ascii_lower(plain(part.column("text")))
+        trained = part.column("trained").to_numpy(zero_copy_only=False)
+        words, counts = words_of(texts)
+        codes = words.indices.to_numpy()
+        size = max(len(words.dictionary), 1)
+        names, block_code = np.unique(part.column("block").to_numpy(), return_inverse=True)
+        cell = np.repeat(block_code, counts).astype(np.int64) * size + codes
+        total = np.bincount(cell, minlength=0) if len(cell) else np.zeros(0, np.int64)
+        learned = np.bincount(cell[np.repeat(trained, counts)], minlength=len(total)) if len(cell) else total
+        cells = np.flatnonzero(total)
+        n = len(cells)
+        word_block = names[cells // size] if n else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word_block, type=pa.int64()), words.dictionary.take(pa.array(cells % size)), pa.nulls(n, pa.int64()), pa.array(learned[cells], type=pa.int64())], names=["block", "word", "gram", "n"])
+        del words, codes, cell, total, learned
+        whole = pa.RecordBatch.from_arrays([texts, pa.array(block_code), pa.array(trained)], names=["text", "code", "trained"])
+        some = [counted_grams(plain(own.column(0)), own.column(1).to_numpy(), own.column(2).to_numpy(zero_copy_only=False)) for own in pieces(whole, "text", PIECE // 4)]
+        keys, times = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, times = added(keys[order], times[order])
+        yield pa.RecordBatch.from_arrays([pa.array(names[keys >> GRAM_BITS], type=pa.int64()), pa.nulls(len(keys), pa.binary()), pa.array(keys & ((1 << GRAM_BITS) - 1)), pa.array(times)], names=["block", "word", "gram", "n"])
 
 
 @dataclass
