@@ -25,8 +25,8 @@ FOLDS, HELD_OUT = 7, 2
 GRAM_BITS = 9 + 8 * ORDER
 #: Bytes of text in a block, about.
 BLOCK = 32 << 20
-#: Bytes of text that a task works on at once, at least.
-PIECE = 8 << 20
+#: Bytes of text that a task works on at once, at least and at most (or one long text).
+PIECE, RUN = 6 << 20, 12 << 20
 
 GATHERED = "block long, word binary, gram long, n long"
 
@@ -82,7 +82,7 @@ def words_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about PIECE to BLOCK bytes of text, cut where a block ends if they can be."""
+    """Rows of about PIECE to RUN bytes of text, cut where a block ends if they can be."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -94,7 +94,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", PIECE // 4):
             block = part.column("block").to_numpy()
-            if held and size >= PIECE and (size >= BLOCK or held[-1].column("block")[-1].as_py() != block[0]):
+            if held and size >= PIECE and (size >= RUN or held[-1].column("block")[-1].as_py() != block[0]):
                 yield all_held()
                 size = 0
             elif held and size >= PIECE and len(ends := np.flatnonzero(block[1:] != block[:-1])):
