@@ -24,9 +24,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Bits of a gram: a symbol and ORDER bytes.
 GRAM_BITS = 9 + 8 * ORDER
 #: Bytes of text in a block, about.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 #: Bytes of text that a task works on at once, at least and at most (or one long text).
-PIECE, RUN = 6 << 20, 12 << 20
+PIECE, RUN = 8 << 20, 18 << 20
 
 GATHERED = "block long, word binary, gram long, n long"
 
