@@ -1,6 +1,13 @@
 """Corpus pipeline: quality, near-duplicates, secrets, mixing, packing.
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns the next docs.
+
+Rows are handled by their whole contents, never by doc_id alone.  Null, empty and very long texts are scored,
+compared, scanned, mixed and packed like others (a null as the empty text, and it leaves the secrets stage as
+it came).  Rows with a null doc_id or one that others share are documents of their own; of whole repeated
+rows and of near copies one stays, the smallest doc_id, of equal ones the smallest hash.  A score of exactly 0.5
+is kept.  Empty tables go through all stages and give no rows.  Columns other than those of documents, clashing
+names included, are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) one row stays, the one with the smallest doc_id."""
+    """Of every group of near copies one row stays, the one with the smallest doc_id.
+
+    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more; SimHash keys and minimum hashes find them.
+    """
     return near_copies.first_of_each(docs.select(*COLUMNS))
 
 

@@ -38,7 +38,7 @@ ENOUGH = 400
 SHORT = 64
 PART = 8192
 ROUNDS = 8
-#: Queries of one task's group.
+#: An eighth of the queries that one group of a list takes.
 QUERIES = 512
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -144,23 +144,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     counts = np.array([held.get(i, 0) for i in range(len(index.value.centres))])
     parts = np.maximum(1, -(-counts // PART))
 
+    def visited(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and the lists that each visits."""
+        order = np.argsort(squared(own, index.value.centres), axis=1, kind="stable")
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        take = (np.arange(order.shape[1]) < index.value.probes) | (before < max(ENOUGH, 4 * k))
+        query, column = np.nonzero(take & (counts[order] > 0))
+        return query, order[query, column]
+
+    def visit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("embedding"), dimension)
+            for at in range(0, len(x), 256):
+                lists, times = np.unique(visited(x[at : at + 256])[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(times.astype(np.int64))], names=["list", "n"])
+
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each list and part that a query visits."""
         for batch in batches:
             x = matrix(batch.column("embedding"), dimension)
             for at in range(0, len(x), 256):
-                own = x[at : at + 256]
-                order = np.argsort(squared(own, index.value.centres), axis=1, kind="stable")
-                before = np.cumsum(counts[order], axis=1) - counts[order]
-                take = (np.arange(order.shape[1]) < index.value.probes) | (before < max(ENOUGH, 4 * k))
-                query, column = np.nonzero(take & (counts[order] > 0))
-                lists = order[query, column]
+                query, lists = visited(x[at : at + 256])
                 times = parts[lists]
                 part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 picked = pa.array(at + np.repeat(query, times))
                 yield pa.RecordBatch.from_arrays([batch.column("query_id").take(picked), batch.column("embedding").take(picked), pa.array(np.repeat(lists, times).astype(np.int32)), pa.array(part.astype(np.int32))], names=["query_id", "embedding", "list", "part"])
 
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct().join(rows, "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = written(asked, "queries")
+    wanted = {int(r["list"]): int(r["n"]) for r in asked.mapInArrow(visit_counts, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}  # at most LISTS rows
+    cuts = np.array([-(-wanted.get(i, 1) // (QUERIES * 8)) for i in range(len(counts))])
     asked = asked.mapInArrow(visits, "query_id long, embedding array<double>, list int, part int")
     many = F.element_at(F.lit(parts.tolist()), F.col("list") + 1)
     stored = table.withColumn("part", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
@@ -188,11 +201,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             found.append((np.full(len(first), query_ids[i]), ids[at[first]], exact[first]))
         return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], schema=FOUND)
 
-    # The queries of a part are dealt into groups as well; the part's rows go to each.
-    group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // (QUERIES * 8))))).cast("int")
-    slices = max(1, -(-queries.count() // (QUERIES * 8)))
-    stored = stored.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # The queries of a much visited list are dealt into slices as well; the list's rows go to each of its own.
+    slices = F.element_at(F.lit(cuts.tolist()), F.col("list") + 1)
+    stored = stored.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     keys = ["list", "part", "slice"]
-    found = asked.withColumn("slice", group).groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+    found = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), slices).cast("int")).groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

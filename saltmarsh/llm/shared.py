@@ -1,7 +1,7 @@
 """Tables written to the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) a
-temporary folder of this machine is made and set as the checkpoint folder.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and Spark is local (tests, a
+laptop) a temporary folder of this machine is made and set as the checkpoint folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="saltmarsh-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,12 +32,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bytes_conf(spark: SparkSession, key: str, default: int) -> int:
-    """A size setting of the session in bytes."""
-    text = str(spark.conf.get(key, str(default))).strip().lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(text[-1:], 1)
-    return int(text.rstrip("kmgt") or default) * unit
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

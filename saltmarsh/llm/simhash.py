@@ -41,27 +41,33 @@ BLOCK = 2048
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of a text."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; none without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     body = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(body, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(body[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([digest(body, SEED)], dtype="<u8")
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
+    return np.array([digest(body[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: the bits that over half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
-    values = np.array(hashes, dtype="<u8")
-    for at in range(0, len(values), 1 << 14):
-        part = values[at : at + (1 << 14)]
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(values), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of a text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:

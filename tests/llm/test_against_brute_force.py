@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from saltmarsh.llm import html_extract, mixing, packing, pii, quality_classifier, queries, secrets_scan, simhash
+from saltmarsh.llm import html_extract, mixing, packing, pii, quality_classifier, queries, secrets_scan
 
 SF = "/root/testdata/sf0.001"
 SHORT = "doc_id long, text string"
@@ -144,19 +144,24 @@ def test_pipeline_stage_by_stage(spark):
     assert good.columns == columns and sum((d in kept) == (marks[d] == 1) for d in known) >= 0.95 * len(known)
 
     single = cp.near_duplicates(spark, good, SF).persist()
-    prints = {d: simhash.fingerprint(before[d] or "") & (2**64 - 1) for d in kept}
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {d: shingles(before[d]) for d in kept}
     root = {d: d for d in kept}
     changed = True
     while changed:
         changed = False
         for a in kept:
             for b in kept:
-                if root[b] < root[a] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                if root[b] < root[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a], changed = root[b], True
     assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(root.values()))
 
     clean = cp.secrets(spark, single, SF).persist()
-    want = {r["doc_id"]: secrets_scan.redact(r["text"] or "", secrets_scan.find_spans(r["text"] or "")) for r in single.collect()}
+    ranks = secrets_scan.corpus_ranks(single)
+    want = {r["doc_id"]: secrets_scan.redact(r["text"] or "", secrets_scan.find_spans(r["text"] or "", ranks=ranks)) for r in single.collect()}
     assert clean.columns == columns and {r["doc_id"]: r["text"] or "" for r in clean.collect()} == want
 
     taken = cp.mix(spark, clean, SF).persist()
