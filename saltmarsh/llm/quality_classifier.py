@@ -5,7 +5,8 @@ vector is the mean over the three kinds of the mean vector of its features of th
 the two classes follows.  Vectors and output weights are learned by stochastic gradient descent in numpy
 from a bounded sample of labelled rows, as many of either class where there are; the output bias is then
 moved back to the share of the classes among all labelled rows.  The network is linear after the
-embedding, so a document is scored with one number per bucket, over its whole text.
+embedding, so a document is scored with one number per bucket, over its whole text.  The driver holds six bytes
+for each different bucket of a sampled text, however long: at most 384 KB a text.
 
 Labels: rows with a null doc_id or label are left out; of repeated labels of a doc_id the majority counts
 (a tie is label 1).  Without any label all scores are 0.5; with one class only, the score is that class.
@@ -85,9 +86,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     return [(word, words), (mixed(pair, 2), pairs), (np.concatenate(grams)[order], np.sum(counts, axis=0))]
 
 
-def sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, times = np.unique(buckets, return_counts=True)
-    return ids.astype(np.int32), (times / max(len(buckets), 1) / KINDS).astype(np.float32)
+def sparse(kinds: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Different buckets of a text's features (16 bits) and their weights: the mean over the kinds of their share of the kind."""
+    ids = np.concatenate(kinds)
+    weights = np.concatenate([np.full(len(k), 1 / max(len(k), 1) / len(kinds)) for k in kinds])
+    different, place = np.unique(ids, return_inverse=True)
+    return different.astype(np.uint16), np.bincount(place, weights=weights, minlength=len(different)).astype(np.float32)
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +101,9 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_kind = [np.split(ids, np.cumsum(counts)[:-1]) for ids, counts in kinds]
             ids, weights = [], []
             for own in zip(*by_kind, strict=True):
-                each = [sparse(x) for x in own]
-                ids.append(np.concatenate([i for i, _ in each]).tobytes())
-                weights.append(np.concatenate([w for _, w in each]).tobytes())
+                at, weight = sparse(own)
+                ids.append(at.tobytes())
+                weights.append(weight.tobytes())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(ids, type=pa.binary()), pa.array(weights, type=pa.binary())], names=["doc_id", "label", "ids", "weights"])
 
 
@@ -161,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     marks.unpersist()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     marked = got["label"].to_numpy().astype(np.int64)[order]
-    ids, weights = ([np.frombuffer(column[int(i)].as_py(), dtype=kind) for i in order] for column, kind in ((got["ids"], np.int32), (got["weights"], np.float32)))
+    ids, weights = ([np.frombuffer(column[int(i)].as_py(), dtype=kind) for i in order] for column, kind in ((got["ids"], np.uint16), (got["weights"], np.float32)))
     del got
     pa.default_memory_pool().release_unused()  # the driver keeps one copy of the sample
     share = shares.get(1, 0) / max(sum(shares.values()), 1)
