@@ -34,8 +34,18 @@ def combined(series: DataFrame, names: list[str], value: Column) -> DataFrame:
 
 
 def net_of(series: DataFrame, base: str, minus: list[str]) -> DataFrame:
-    """base less the other series on the dates of ``base``; a missing leg counts as 0."""
-    out = named(series, base, "v")
-    for i, name in enumerate(minus):
-        out = out.join(named(series, name, f"m{i}"), "d", "left").withColumn("v", F.col("v") - F.coalesce(f"m{i}", F.lit(0.0))).drop(f"m{i}")
-    return out
+    """base less the other series, on the dates that base and every leg with any row have; base alone where they share no date."""
+    names = [base, *minus]
+    rows = series.where(F.col("series").isin(*names))
+    there = rows.groupBy().agg(F.collect_set("series").alias("there"))  # at most as many names as legs
+    wide = rows.groupBy("d").agg(*(F.max(F.when(F.col("series") == x, F.col("v"))).alias(f"x{i}") for i, x in enumerate(names)))
+    wide = wide.where("x0 is not null").join(F.broadcast(there))
+    complete = F.lit(True)
+    net = F.col("x0")
+    for i, name in enumerate(minus, 1):
+        complete = complete & (F.col(f"x{i}").isNotNull() | ~F.array_contains("there", name))
+        net = net - F.coalesce(F.col(f"x{i}"), F.lit(0.0))
+    wide = wide.withColumn("complete", complete)
+    some = wide.groupBy().agg(F.max(F.col("complete").cast("int")).alias("some"))
+    out = wide.join(F.broadcast(some)).where("complete or some = 0")
+    return out.select("d", F.when(F.col("some") == 1, net).otherwise(F.col("x0")).alias("v"))

@@ -92,6 +92,14 @@ def pairs(series: DataFrame) -> DataFrame:
     return left.join(right, "d").where("a < b")
 
 
+def pair_returns(both: DataFrame, least: int = 52) -> DataFrame:
+    """(a, b, d, x, y): changes of both from one week's last common date to the next week's, for pairs of at least so many."""
+    own = Window.partitionBy("a", "b").orderBy("d")
+    weeks = both.groupBy("a", "b", friday(F.col("d")).alias("w")).agg(F.max_by(F.struct("x", "y"), "d").alias("last")).select("a", "b", F.col("w").alias("d"), "last.x", "last.y")
+    rows = weeks.select("a", "b", "d", *((F.try_divide(c, F.lag(c).over(own)) - 1).alias(c) for c in ("x", "y"))).where("x is not null and y is not null")
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a", "b"))).where(F.col("n") >= least).drop("n")
+
+
 def kendall(both: DataFrame) -> DataFrame:
     """Kendall's tau-b for every (a, b) of ``pairs``.
 
@@ -116,9 +124,15 @@ def spearman(both: DataFrame, n: int = 63) -> DataFrame:
 
 
 def clayton(tau: Column) -> tuple[Column, Column]:
-    """Parameter and lower tail dependence of a Clayton copula; null for tau of 0 or less."""
-    theta = F.when(tau > 0, F.try_divide(2 * tau, 1 - tau))
-    return theta, F.pow(F.lit(2.0), -1 / theta)
+    """Parameter and lower tail dependence of a Clayton copula; both 0 for tau of 0.05 or less."""
+    theta = F.greatest(F.try_divide(2 * tau, 1 - tau), F.lit(0.01))
+    fits = tau > 0.05
+    return F.when(fits, theta).when(tau.isNotNull(), 0.0), F.when(fits, F.pow(F.lit(2.0), -1 / theta)).when(tau.isNotNull(), 0.0)
+
+
+def implied_rho(tau: Column) -> Column:
+    """Rank correlation that tau lets expect."""
+    return F.when(tau > 0.05, tau * (tau + 2) / 3).when(tau >= 0, 0.0).otherwise(tau)
 
 
 def capped(rows: DataFrame, score: str, left: str, right: str, most: int, each: int, fewer: dict[str, int] | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LABELS, clip, momentum
-from ..operators import points, windows
+from ..operators import points, rules, windows
 from ..sources import tables
 from . import regime
 from .base_sql import DAY, FRIDAY, LINE, SER, WEEK, r, with_
@@ -79,51 +79,113 @@ def stay_degrade_improve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("series").agg(six(share(t == k), "stay"), six(share(t < k), "degrade"), six(share(t > k), "improve"))
 
 
-PAIRS = "pr as (select x.series as a, y.series as b, x.d, x.v as x, y.v as y from week x join week y on x.d = y.d and x.series < y.series)"
+#: Pairs on common days, and their weekly changes.
+PAIRS = (
+    "dp as (select x.series as a, y.series as b, x.d, x.v as x, y.v as y from ser x join ser y on x.d = y.d and x.series < y.series)",
+    f"wk as (select a, b, {FRIDAY} as w, arg_max(x, d) as x, arg_max(y, d) as y from dp group by 1, 2, 3)",
+    "pr as (select * from (select a, b, w as d, x / lag(x) over (partition by a, b order by w) - 1 as x, y / lag(y) over (partition by a, b order by w) - 1 as y from wk) where x is not null qualify count(*) over (partition by a, b) >= 52)",
+)
 TAU = "tau as (select p.a, p.b, sum(sign(q.x - p.x) * sign(q.y - p.y)) / sqrt(sum(abs(sign(q.x - p.x))) * sum(abs(sign(q.y - p.y)))) as tau from pr p join pr q on p.a = q.a and p.b = q.b and p.d < q.d group by 1, 2)"
+THETA = "case when tau > 0.05 then greatest(2 * tau / (1 - tau), 0.01) else 0 end"
+TAIL = f"case when tau > 0.05 then pow(2.0, -1 / ({THETA})) else 0 end"
+
+
+def weekly_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.pair_returns(points.pairs(tables.orders(spark, sf_dir)))
 
 
-@query(with_(SER, WEEK, PAIRS, TAU) + f"select a, b, {r('tau')} as tau, {r('case when tau > 0 then 2 * tau / (1 - tau) end')} as theta, {r('case when tau > 0 then pow(2.0, -(1 - tau) / (2 * tau)) end')} as tail, {r('sin(pi() / 2 * tau)')} as rho from tau")
+@query(with_(SER, *PAIRS, TAU) + f"select a, b, {r('tau')} as tau, {r(THETA)} as theta, {r(TAIL)} as tail, {r('case when tau > 0.05 then tau * (tau + 2) / 3 when tau >= 0 then 0 else tau end')} as rho from tau")
 def kendall_and_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = points.kendall(points.pairs(points.weekly(tables.orders(spark, sf_dir))))
+    """Kendall's tau of weekly changes, the Clayton copula that follows, and the rank correlation to expect."""
+    got = points.kendall(weekly_pairs(spark, sf_dir))
     theta, tail = points.clayton(F.col("tau"))
-    return got.select("a", "b", six("tau", "tau"), six(theta, "theta"), six(tail, "tail"), six(F.sin(F.col("tau") * (3.141592653589793 / 2)), "rho"))
+    return got.select("a", "b", six("tau", "tau"), six(theta, "theta"), six(tail, "tail"), six(points.implied_rho(F.col("tau")), "rho"))
+
+
+SPEAR = (
+    "t63 as (select * from pr qualify row_number() over (partition by a, b order by d desc) <= 63)",
+    "k63 as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as rx, rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as ry from t63)",
+    "rho as (select a, b, corr(rx, ry) as rho, count(*) as n from k63 group by 1, 2)",
+)
 
 
-@query(with_(SER, WEEK, PAIRS, "t as (select * from pr qualify row_number() over (partition by a, b order by d desc) <= 63)", "k as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as rx, rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as ry from t)") + f"select a, b, {r('corr(rx, ry)')} as rho, count(*) as n from k group by 1, 2")
+@query(with_(SER, *PAIRS, *SPEAR) + f"select a, b, {r('rho')} as rho, n from rho")
 def spearman_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.spearman(points.pairs(points.weekly(tables.orders(spark, sf_dir)))).select("a", "b", six("rho", "rho"), "n")
+    return points.spearman(weekly_pairs(spark, sf_dir)).select("a", "b", six("rho", "rho"), "n")
 
 
-@query(with_(SER, WEEK, PAIRS) + f"select a, b, {r('corr(x, y)')} as corr, count(*) as n from pr group by 1, 2")
+@query(with_(SER, *PAIRS, "rn as (select *, row_number() over (partition by a, b order by d desc) as rn from pr)") + f"select a, b, {r('corr(x, y)')} as corr, {r('corr(x, y) filter (where rn <= 63)')} as recent, count(*) as n from rn group by 1, 2")
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = points.pairs(points.weekly(tables.orders(spark, sf_dir)))
-    return both.groupBy("a", "b").agg(six(F.corr("x", "y"), "corr"), F.count(F.lit(1)).alias("n"))
+    """Correlation of weekly changes, of all weeks and of the last 63."""
+    rows = weekly_pairs(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("d"))))
+    late = F.col("rn") <= 63
+    return rows.groupBy("a", "b").agg(six(F.corr("x", "y"), "corr"), six(F.corr(F.when(late, F.col("x")), F.when(late, F.col("y"))), "recent"), F.count(F.lit(1)).alias("n"))
 
 
-RATIO = "ra as (select a, b, d, x / y as v from pr)"
+#: The copula's factor for a pair: by tau, its tail, and the departure of the recent rank correlation.
+PENALTY = (
+    f"cp as (select tau.a, tau.b, tau, {TAIL} as tail, rho, case when tau > 0.05 then rho - tau * (tau + 2) / 3 else 0 end as delta from tau join rho on tau.a = rho.a and tau.b = rho.b)",
+    "fl as (select *, abs(delta) > 0.22 and tau > 0.15 as flag from cp)",
+    "pf as (select *, greatest(0.6, least(1.05, case when tau < 0 then 0.88 when tau > 0.05 then case when tail > 0.45 then 0.72 when tail > 0.35 then 0.82 when tail > 0.25 then 0.91 when tail < 0.1 then 1.04 else 1 end else 1 end * (1 - case when flag then least(abs(delta) / 0.22 * 0.1, 0.15) else 0 end))) as factor from fl)",
+)
+W252P = "over (partition by a, b order by d rows between 251 preceding and current row)"
 OWNP = "over (partition by a, b order by d)"
-W52P = "over (partition by a, b order by d rows between 51 preceding and current row)"
 PAIR_SCORE = (
-    f"st as (select a, b, d, case when count(v) {OWNP} >= 30 then (v - avg(v) {W52P}) / stddev_samp(v) {W52P} end as z, case when v > lag(v, 13) {OWNP} then 1 when v <= lag(v, 13) {OWNP} then -1 end as up, v / lag(v, 4) {OWNP} - 1 as r1m, row_number() over (partition by a, b order by d desc) as rn from ra)",
-    "sc as (select a, b, (0.625 * up + 0.25 * greatest(-2.5, least(2.5, -z)) + 0.375 * greatest(-2.5, least(2.5, r1m * 100 / 2.5))) / 2.5 * 100 as score from st where rn = 1)",
+    f"ra as (select a, b, d, v, v - lag(v, 21) {OWNP} as step, count(*) {OWNP} as n, max(d) over (partition by a, b) as newest from (select a, b, d, x / y as v from dp))",
+    f"st as (select *, (v - avg(v) {W252P}) / stddev_samp(v) {W252P} as z, case when n >= 84 then (step - avg(step) {W252P}) / stddev_samp(step) {W252P} end as mz, case when v > avg(v) over (partition by a, b order by d rows between 62 preceding and current row) then 1 else -1 end as up, arg_max(v, d) filter (where d <= newest - 21) over (partition by a, b) as old from ra)",
+    "raw as (select a, b, greatest(-100, least(100, (0.35 * greatest(-2.5, least(2.5, coalesce(mz, 0))) + 0.625 * up + 0.25 * greatest(-2.5, least(2.5, -z)) + 0.375 * greatest(-2.5, least(2.5, (v / old - 1) * 100 / 2.5))) / 2.5 * 100)) as raw from st where d = newest and n >= 90)",
+    "sc as (select raw.a, raw.b, raw, coalesce(factor, 1) as factor, greatest(-100, least(100, raw * coalesce(factor, 1))) as score from raw left join pf on raw.a = pf.a and raw.b = pf.b)",
 )
+PAIR_SQL = (SER, *PAIRS, TAU, *SPEAR, *PENALTY, *PAIR_SCORE)
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level, trend and monthly return of each pair's ratio as a score from -100 to 100."""
-    both = points.pairs(points.weekly(tables.orders(spark, sf_dir)))
-    rows = both.select(F.concat_ws("|", "a", "b").alias("series"), "a", "b", "d", F.try_divide("x", "y").alias("v"))
-    up = F.when(F.col("v") > F.lag(F.col("v"), 13).over(windows.by()), 1).when(F.col("v") <= F.lag(F.col("v"), 13).over(windows.by()), -1)
-    rows = rows.withColumn("z", windows.zscore(F.col("v"), 52, guard=30)).withColumn("up", up).withColumn("r1m", windows.pct_change(F.col("v"), 4)).withColumn("rn", windows.newest_first())
-    score = (0.625 * F.col("up") + 0.25 * clip(-F.col("z"), -2.5, 2.5) + 0.375 * clip(F.col("r1m") * 100 / 2.5, -2.5, 2.5)) / 2.5 * 100
-    return rows.where("rn = 1").select("a", "b", score.alias("score"))
+def penalties(weekly: DataFrame) -> DataFrame:
+    """(a, b, tau, tail, rho, flag, factor) of pairs with weekly changes."""
+    met = points.kendall(weekly).join(points.spearman(weekly).select("a", "b", "rho"), ["a", "b"])
+    tail = points.clayton(F.col("tau"))[1]
+    flag, factor = rules.copula_penalty(F.col("tau"), tail, F.col("rho"))
+    return met.select("a", "b", "tau", tail.alias("tail"), "rho", flag.alias("flag"), factor.alias("factor"))
 
 
-@query(with_(SER, WEEK, PAIRS, RATIO, *PAIR_SCORE) + f"select a, b, {r('score', 4)} as score, case when abs(score) >= 65 then 'High' when abs(score) >= 45 then 'Medium' else 'Low' end as conviction from sc")
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw and score, from -100 to 100, of each pair with at least 90 common days: momentum, trend, level and monthly return of the ratio, less the copula's penalty."""
+    both = points.pairs(tables.orders(spark, sf_dir))
+    own = Window.partitionBy("series").orderBy("d")
+    rows = both.select(F.concat_ws("|", "a", "b").alias("series"), "a", "b", "d", F.try_divide("x", "y").alias("v")).where("v is not null")
+    v = F.col("v")
+    rows = rows.withColumn("step", windows.change(v, 21)).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("newest", F.max("d").over(Window.partitionBy("series")))
+    month = F.max_by(F.when(F.col("d") <= F.date_sub("newest", 21), v), F.when(F.col("d") <= F.date_sub("newest", 21), F.col("d"))).over(Window.partitionBy("series"))
+    momentum_z = F.when(F.col("n") >= 21 + 63, windows.zscore(F.col("step"), 252, guard=2))
+    trend = F.when(v > windows.rolling_mean(v, 63), 1.0).otherwise(-1.0)
+    rows = rows.select("a", "b", "d", "newest", "n", windows.zscore(v, 252).alias("z"), momentum_z.alias("mz"), trend.alias("trend"), (F.try_divide(v, month) - 1).alias("r1m")).where("d = newest and n >= 90")
+
+    def bounded(x: Column) -> Column:
+        return clip(F.coalesce(x, F.lit(0.0)), -2.5, 2.5)
+
+    raw = clip((0.35 * bounded(F.col("mz")) + 0.625 * F.col("trend") + 0.25 * bounded(-F.col("z")) + 0.375 * bounded(F.col("r1m") * 100 / 2.5)) / 2.5 * 100, -100, 100)
+    met = rows.select("a", "b", raw.alias("raw")).join(penalties(points.pair_returns(both)).select("a", "b", "tail", "factor"), ["a", "b"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    return met.withColumn("score", clip(F.col("raw") * F.col("factor"), -100, 100))
+
+
+@query(with_(*PAIR_SQL) + f"select a, b, {r('raw', 4)} as raw, {r('factor')} as factor, {r('score', 4)} as score, case when abs(score) >= 65 then 'Strong' when abs(score) >= 45 then 'Moderate' else 'Weak' end as conviction, case when score > 0 then a else b end as leader, row_number() over (order by round(abs(score), 4) desc, a, b) as place from sc")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, the strongest first (``place``); the number of pairs is that of a fixed list of names."""
     s = F.abs("score")
-    return scored_pairs(spark, sf_dir).select("a", "b", six("score", "score", 4), F.when(s >= 65, "High").when(s >= 45, "Medium").otherwise("Low").alias("conviction"))
+    place = F.row_number().over(Window.orderBy(F.desc(F.round(s, 4)), "a", "b"))
+    return scored_pairs(spark, sf_dir).select(
+        "a", "b", six("raw", "raw", 4), six("factor", "factor"), six("score", "score", 4), F.when(s >= 65, "Strong").when(s >= 45, "Moderate").otherwise("Weak").alias("conviction"), F.when(F.col("score") > 0, F.col("a")).otherwise(F.col("b")).alias("leader"), place.alias("place")
+    )
+
+
+@query(with_(SER, *PAIRS, TAU, "nm as (select distinct series as s from ser)", f"tl as (select a, b, {TAIL} as tail from tau)") + f"select x.s as a, y.s as b, case when x.s = y.s then 1.0 else {r('tail')} end as tail from nm x cross join nm y left join tl on tl.a = least(x.s, y.s) and tl.b = greatest(x.s, y.s)")
+def tail_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tail dependence of every two names in either order, 1 with itself."""
+    rows = tables.orders(spark, sf_dir)
+    tails = points.kendall(points.pair_returns(points.pairs(rows))).select("a", "b", points.clayton(F.col("tau"))[1].alias("tail"))
+    names = rows.select("series").distinct().agg(F.array_sort(F.collect_set("series")).alias("names"))  # a fixed list
+    grid = names.select(F.explode("names").alias("x"), "names").select("x", F.explode("names").alias("y"))
+    met = grid.select("x", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tails, ["a", "b"], "left")
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.round("tail", 6) + 0.0).alias("tail"))
 
 
 @query(None)
@@ -207,15 +269,15 @@ def regime_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(day(), *(six(p, p) for p in regime.WEIGHTS), six("score_raw", "score_raw", 4), "score", "label")
 
 
-@query(with_(*HISTORY_SQL, "h as (select d, score, lag(score, 3) over (order by d) as was, lag(score, 7) over (order by d) as older from sc)") + f"select {DAY}, score, cast(score - was as bigint) as delta, case when score - was >= 6 then 'Improving' when score - was <= -6 then 'Deteriorating' else 'Stable' end as momentum, case when score >= 75 then null when score >= 60 then 75 when score >= 40 then 60 when score >= 25 then 40 else 25 end - score + 1 as up, score - case when score >= 75 then 75 when score >= 60 then 60 when score >= 40 then 40 when score >= 25 then 25 end + 1 as down from h")
+@query(with_(*HISTORY_SQL, "h as (select x.d, x.score, y.score as was from sc x asof left join sc y on x.d - 21 >= y.d)") + f"select {DAY}, score, cast(score - was as bigint) as delta, case when score - was >= 6 then 'Improving' when score - was <= -6 then 'Deteriorating' else 'Stable' end as momentum, case when score >= 75 then null when score >= 60 then 75 when score >= 40 then 60 when score >= 25 then 40 else 25 end - score + 1 as up, score - case when score >= 75 then 75 when score >= 60 then 60 when score >= 40 then 40 when score >= 25 then 25 end + 1 as down from h")
 def regime_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change over three weeks and the points to the next label either way; one row a week, so one ordered task."""
+    """Change over 21 days and the points to the next label either way; one row a week, so one ordered task."""
     score = F.col("score")
-    rows = regime.history(roles(spark, sf_dir)).select("d", "score").withColumn("one", F.lit(1))
-    delta = score - F.lag("score", 3).over(windows.by("one"))
+    rows = regime.history(roles(spark, sf_dir)).select("d", "score").withColumn("one", F.lit(1)).withColumn("day", F.datediff("d", F.lit("1970-01-01")))
+    was = F.last("score").over(Window.partitionBy("one").orderBy("day").rangeBetween(Window.unboundedPreceding, -21))
     above = F.when(score >= 75, None).when(score >= 60, 75).when(score >= 40, 60).when(score >= 25, 40).otherwise(25)
     below = F.when(score >= 75, 75).when(score >= 60, 60).when(score >= 40, 40).when(score >= 25, 25)
-    return rows.withColumn("delta", delta).select(day(), "score", "delta", momentum(F.col("delta")).alias("momentum"), (above - score + 1).alias("up"), (score - below + 1).alias("down"))
+    return rows.withColumn("delta", score - was).select(day(), "score", "delta", momentum(F.col("delta")).alias("momentum"), (above - score + 1).alias("up"), (score - below + 1).alias("down"))
 
 
 __all__ = ["ORACLE", "QUERIES"]

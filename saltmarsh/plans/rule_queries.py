@@ -9,7 +9,7 @@ from ..functions.scalars import clip
 from ..operators import joins, points, rules, windows
 from ..sources import tables
 from .base_sql import DAY, LINE, SER, WEEK, r, with_
-from .model_queries import LABELLED, PAIRS, ROLES, STATS, TAU, role_sql, roles, weekly_labels
+from .model_queries import LABELLED, PAIRS, PENALTY, ROLES, SPEAR, STATS, TAU, penalties, role_sql, roles, weekly_labels, weekly_pairs
 from .series_queries import ORACLE, QUERIES, day, query, six
 
 #: Further roles as affine images of series of the test tables.
@@ -205,18 +205,9 @@ def labour_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weighted(row, parts).select(six("score", "score", 4))
 
 
-SPEAR = ("t63 as (select * from pr qualify row_number() over (partition by a, b order by d desc) <= 63)", "k63 as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as rx, rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as ry from t63)", "rho as (select a, b, corr(rx, ry) as rho from k63 group by 1, 2)")
-
-
-@query(
-    with_(SER, WEEK, PAIRS, TAU, *SPEAR, "c as (select tau.a, tau.b, tau, case when tau > 0 then pow(2.0, -(1 - tau) / (2 * tau)) end as tail, rho, case when tau > 0.05 then rho - tau * (tau + 2) / 3 else 0 end as delta from tau join rho on tau.a = rho.a and tau.b = rho.b)", "f as (select *, abs(delta) > 0.22 and tau > 0.15 as flag from c)")
-    + f"select a, b, {r('tau')} as tau, flag, {r('''greatest(0.6, least(1.05, case when tau < 0 then 0.88 when tau > 0.05 then case when tail > 0.45 then 0.72 when tail > 0.35 then 0.82 when tail > 0.25 then 0.91 when tail < 0.1 then 1.04 else 1 end else 1 end * (1 - case when flag then least(abs(delta) / 0.22 * 0.1, 0.15) else 0 end)))''')} as factor from f"
-)
+@query(with_(SER, *PAIRS, TAU, *SPEAR, *PENALTY) + f"select a, b, {r('tau')} as tau, flag, {r('factor')} as factor from pf")
 def copula_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = points.pairs(points.weekly(tables.orders(spark, sf_dir)))
-    met = points.kendall(both).join(points.spearman(both), ["a", "b"])
-    flag, factor = rules.copula_penalty(F.col("tau"), points.clayton(F.col("tau"))[1], F.col("rho"))
-    return met.select("a", "b", six("tau", "tau"), flag.alias("flag"), six(factor, "factor"))
+    return penalties(weekly_pairs(spark, sf_dir)).select("a", "b", six("tau", "tau"), "flag", six("factor", "factor"))
 
 
 GAPS = (("VIX vs HY OAS", "VIX", "hy_oas", -1, 1.0), ("Curve vs IWM/SPY", "curve2", "small", -1, 1.2), ("GLD vs Real rates", "GLD", "real10", 1, 1.2))

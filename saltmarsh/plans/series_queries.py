@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
@@ -157,11 +157,20 @@ def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series", "rising", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "n")
 
 
-@query(with_(SER, "m as (select series, d, " + frame(50, "avg", 20) + " as v from ser)", "q as (select series, d, v / (" + frame(252, "avg", 50) + ") * 100 as ratio from m where v is not null)", f"b as (select series, d, ratio, lag(ratio, 20) {OWN} as was, row_number() over (partition by series order by d desc) as rn from q)") + f"select series, {r('ratio', 4)} as ratio, {r('ratio - was', 4)} as momentum from b where rn = 1")
+@query(
+    with_(SER, "q0 as (select a.series, a.d, a.v / b.v as v, count(*) over (partition by a.series) as n from ser a join ser b on a.d = b.d and b.series = '3-MEDIUM' where a.series <> '3-MEDIUM')", "m as (select series, d, " + frame(50, "avg", 20) + " as v from q0 where n >= 60)", f"q as (select series, d, v, v / ({frame(252, 'avg', 50)}) * 100 as ratio, v / lag(v, 20) {OWN} * 100 as momentum, row_number() over (partition by series order by d desc) as rn from m where v is not null)")
+    + f"select series, {r('ratio', 4)} as ratio, {r('momentum', 4)} as momentum, case when ratio >= 100 and momentum >= 100 then 'Leading' when ratio >= 100 then 'Weakening' when momentum >= 100 then 'Improving' else 'Lagging' end as quadrant from q where rn = 1"
+)
 def rotation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.orders(spark, sf_dir).withColumn("v", windows.rolling_mean(F.col("v"), 50, 20)).where("v is not null")
-    rows = rows.withColumn("ratio", F.col("v") / windows.rolling_mean(F.col("v"), 252, 50) * 100).withColumn("was", F.lag("ratio", 20).over(windows.by()))
-    return rows.withColumn("rn", windows.newest_first()).where("rn = 1").select("series", six("ratio", "ratio", 4), six(F.col("ratio") - F.col("was"), "momentum", 4))
+    """Strength against the benchmark: the smoothed ratio over its own mean, and over itself 20 rows ago."""
+    rows = tables.orders(spark, sf_dir)
+    base = joins.named(rows, "3-MEDIUM", "base")
+    ratio = rows.where("series <> '3-MEDIUM'").join(base, "d").select("series", "d", F.try_divide("v", "base").alias("v")).where("v is not null")
+    ratio = ratio.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series"))).where("n >= 60")
+    smooth = ratio.withColumn("v", windows.rolling_mean(F.col("v"), 50, 20)).where("v is not null")
+    smooth = smooth.withColumn("ratio", F.col("v") / windows.rolling_mean(F.col("v"), 252, 50) * 100).withColumn("momentum", F.try_divide("v", F.lag("v", 20).over(windows.by())) * 100)
+    quadrant = F.when((F.col("ratio") >= 100) & (F.col("momentum") >= 100), "Leading").when(F.col("ratio") >= 100, "Weakening").when(F.col("momentum") >= 100, "Improving").otherwise("Lagging")
+    return smooth.withColumn("rn", windows.newest_first()).where("rn = 1").select("series", six("ratio", "ratio", 4), six("momentum", "momentum", 4), quadrant.alias("quadrant"))
 
 
 @query(with_(SER, LINE, "base as (select d, v from line where series = 'AF')") + f"select ser.series, cast(ser.d as varchar) as d, {r('ser.v', 4)} as v, {r('base.v')} as base from ser asof left join base on ser.d >= base.d")
@@ -180,7 +189,7 @@ def spread_and_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(day(), six(a - b, "spread"), six(F.try_divide(a, b), "ratio"), six((10 * a - 5 * b) / 5, "fwd"))
 
 
-@query(with_(SER) + "select cast(a.d as varchar) as d, " + r("a.v - coalesce(b.v, 0) - coalesce(c.v, 0)", 4) + " as net from ser a left join ser b on a.d = b.d and b.series = '2-HIGH' left join ser c on a.d = c.d and c.series = '5-LOW' where a.series = '1-URGENT'")
+@query(with_(SER) + "select cast(a.d as varchar) as d, " + r("a.v - b.v - c.v", 4) + " as net from ser a join ser b on a.d = b.d and b.series = '2-HIGH' join ser c on a.d = c.d and c.series = '5-LOW' where a.series = '1-URGENT'")
 def net_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.net_of(tables.orders(spark, sf_dir), "1-URGENT", ["2-HIGH", "5-LOW"]).select(day(), six("v", "net", 4))
 
