@@ -259,7 +259,15 @@ SCORE_SQL = (
     "raw as (select *, greatest(0, least(100, base + 100 * case when bz > 0.3 and hz > 0.5 then least(bz, 2) * least(hz, 2) / 4 * -0.12 when bz < -0.3 and hz < -0.5 then 0.03 else 0 end)) as score_raw from pen)",
     "sc as (select *, cast(round_even(score_raw, 0) as bigint) as score from raw)",
 )
+#: The regime at the newest dates and 21 days earlier; d is 'now' or 'before'.
+_CUT = (
+    f"cut as (select k as d, m - n as macro, p - n as price from (select max(d) filter (where series in ({', '.join(map(repr, regime.MACRO))})) as m, max(d) filter (where series in ({', '.join(map(repr, regime.PRICES))})) as p from role) cross join (values ('now', 0), ('before', 21)) x(k, n))",
+    f"ask0 as (select d, macro, price, unnest([{', '.join(map(repr, regime.NEEDED))}]) as series from cut)",
+    f"asked as (select d, series, case when series in ({', '.join(map(repr, regime.PRICED))}) then price else macro end as day from ask0)",
+    "met as (select asked.d, asked.series, s3.v, s3.n, s3.z, s3.roc, s3.gap, s3.pct from asked asof left join s3 on asked.series = s3.series and asked.day >= s3.d)",
+)
 HISTORY_SQL = (SER, LINE, ROLE_SQL, ALL_SQL, *STAT_SQL, *PILLAR_SQL, *SCORE_SQL)
+SNAPSHOT_SQL = (ALL_SQL, *STAT_SQL[:4], *_CUT, STAT_SQL[-1], *PILLAR_SQL, *SCORE_SQL)
 LABEL_SQL = "case when score >= 75 then 'Risk On' when score >= 60 then 'Bullish' when score >= 40 then 'Neutral' when score >= 25 then 'Bearish' else 'Risk Off' end"
 
 

@@ -95,12 +95,15 @@ EVERY = (
     + " union all select 'breadth', a.d, a.v / b.v from (select * from role where series = 'RSP') a asof join (select * from role where series = 'SPY') b on a.d >= b.d)",
 )
 STAT = (
-    "num as (select *, row_number() over (partition by series order by d desc) as rn, max(d) over (partition by series) as newest, first_value(v) over (partition by series order by d desc) as last from every)",
+    "num as (select *, v / lag(v, 21) over (partition by series order by d) - 1 as pc, row_number() over (partition by series order by d desc) as rn, max(d) over (partition by series) as newest, first_value(v) over (partition by series order by d desc) as last from every)",
     "cur as (select series, max(last) as v, round(case when count(*) >= 30 then (max(last) - avg(v) filter (where rn <= 252)) / stddev_samp(v) filter (where rn <= 252) end, 3) as z, round(case when count(*) >= 252 then avg(case when v < last then 1.0 else 0.0 end) filter (where rn <= 252) * 100 end, 1) as pct, "
     + ", ".join(f"max(last) - arg_max(v, d) filter (where d <= newest - {k}) as d{k}" for k in (7, 28, 30))
     + ", "
     + ", ".join(f"max(last) / max(v) filter (where rn = {k + 1}) - 1 as r{k}" for k in (21, 63))
-    + ", case when count(*) >= 100 then avg(v) filter (where rn <= 200) end as m200 from num group by 1)",
+    + ", case when count(*) >= 100 then avg(v) filter (where rn <= 200) end as m200, case when count(*) >= 30 then (max(last) - avg(v) filter (where rn <= 252)) / stddev_samp(v) filter (where rn <= 252) end as zr"
+    + ", case when count(pc) >= 30 then (max(pc) filter (where rn = 1) - avg(pc) filter (where rn <= 252)) / stddev_samp(pc) filter (where rn <= 252) end as rz, max(last) / max(v) filter (where rn = 6) - 1 as r5, case when count(*) >= 63 then avg(v) filter (where rn <= 63) end as a63, "
+    + ", ".join(f"max(last) / arg_max(v, d) filter (where d <= newest - {k}) - 1 as c{k}" for k in (7, 21, 63))
+    + " from num group by 1)",
 )
 
 
