@@ -16,7 +16,7 @@ RULE = "key string, label string, series string, stat string, format string, sca
 
 
 def current(series: DataFrame) -> DataFrame:
-    """Newest value ``v`` of every series with z (252 rows, from 30 on; zr: unrounded), pct (252), changes over 7, 28 and 30 days, returns of 21 and 63 rows and (c7, c21, c63) days, the means of 63 and 200 rows (from half of them on), a63 (the mean of 63, from 63 on), the z-score rz of 21-row returns, and of 5 rows the return r5."""
+    """Newest value ``v`` of every series with z (252 rows, from 30 on; zr: unrounded), pct (252), changes over 7, 28 and 30 days, returns of 21 and 63 rows and (c7, c10, c21, c63) days, the means of 63 and 200 rows (from half of them on), a63 (the mean of 63, from 63 on), the z-score rz of 21-row returns, and of 5 rows the return r5."""
     new = Window.partitionBy("series").orderBy(F.desc("d"))
     rows = series.withColumn("rn", F.row_number().over(new)).withColumn("last", F.first("v").over(new)).withColumn("newest", F.first("d").over(new))
     rows = rows.withColumn("pc", F.try_divide("v", F.lag("v", 21).over(Window.partitionBy("series").orderBy("d"))) - 1)
@@ -46,7 +46,7 @@ def current(series: DataFrame) -> DataFrame:
     below = F.when(rn <= 252, (v < F.col("last")).cast("double"))
     return rows.groupBy("series").agg(
         n.alias("n"), last.alias("v"), F.round(z, 3).alias("z"), F.when(n >= 252, F.round(F.avg(below) * 100, 1)).alias("pct"),
-        z.alias("zr"), rz.alias("rz"), calendar(7).alias("c7"), calendar(21).alias("c21"), calendar(63).alias("c63"), ret(5).alias("r5"), F.when(n >= 63, F.avg(within(63))).alias("a63"),
+        z.alias("zr"), rz.alias("rz"), calendar(7).alias("c7"), calendar(10).alias("c10"), calendar(21).alias("c21"), calendar(63).alias("c63"), ret(5).alias("r5"), F.when(n >= 63, F.avg(within(63))).alias("a63"),
         since(7).alias("d7"), since(28).alias("d28"), since(30).alias("d30"), ret(21).alias("r21"), ret(63).alias("r63"), mean(63).alias("m63"), mean(200).alias("m200"),
     )
 

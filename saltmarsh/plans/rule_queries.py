@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
-from ..operators import joins, points, rules, windows
-from ..sources import tables
-from .base_sql import DAY, LINE, SER, WEEK, r, with_
-from .model_queries import LABELLED, PAIRS, PENALTY, ROLES, SPEAR, STATS, TAU, penalties, role_sql, roles, weekly_labels, weekly_pairs
+from ..operators import joins, rules, windows
+from .base_sql import DAY, LINE, SER, r, with_
+from .model_queries import PAIRS, PENALTY, ROLES, SPEAR, TAU, penalties, role_sql, roles, weekly_pairs
 from .series_queries import ORACLE, QUERIES, day, query, six
 
 #: Further roles as affine images of series of the test tables.
@@ -36,10 +35,6 @@ SPREADS = (
     ("vratio", "VIX", "/", "VIX3M"),
     ("small", "IWM", "/", "SPY"),
 )
-# Assets that take macro signals the other way round.
-SAFE = ("TLT", "GLD", "SLV", "XLU")
-ASSETS = ("SPY", "RSP", "IWM", "GLD", "TLT", "HYG")
-
 # Colours and thresholds of the signals.
 RED, GREEN, GREY, AMBER = "#ef4444", "#22c55e", "#94a3b8", "#f59e0b"
 WIDE = [(">", 0.5, -1, RED, None), ("<", -0.5, 1, GREEN, None)]
@@ -65,20 +60,10 @@ SIGNALS: list[tuple] = [
     ("breadth_rsp_spy", "RSP/SPY breadth", "breadth", "z", "%.2f", 1.0, None, [(">", 0.3, 1, GREEN, "IMPROVING"), ("<", -0.3, -1, RED, "FADING")], (0, GREY, "NEUTRAL")),
     ("hy_pct_rank", "HY pct rank", "hy_oas", "pct", "~%.0fth pct", 1.0, None, [(">", 80.0, -1, RED, None), ("<", 20.0, 1, GREEN, None)], (0, GREY, None)),
 ]
-# Weights of the factor scores.
-FACTORS = (
-    ("Value vs Growth", "Value", "Growth", {"curve": 0.4, "real": -0.35, "credit": -0.25}),
-    ("Quality vs High-beta", "Quality", "High-beta", {"credit": 0.45, "real": 0.30, "curve": -0.25}),
-    ("Small cap vs Large cap", "Small caps", "Large caps", {"credit": -0.35, "curve": 0.35, "dollar": -0.30}),
-    ("Cyclicals vs Defensives", "Cyclicals", "Defensives", {"curve": 0.35, "credit": -0.35, "tilt": 0.30}),
-    ("Real assets vs Financial", "Real assets", "Financial", {"real": -0.40, "dollar": -0.35, "tilt": 0.25}),
-    ("International vs Domestic", "International/EM", "US domestic", {"dollar": -0.50, "tilt": 0.30, "real": -0.20}),
-)
 
-
-def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every(spark: SparkSession, sf_dir: str, which: tuple = MORE) -> DataFrame:
     """Roles, their spreads, and the breadth of RSP over the last SPY so far."""
-    rows = roles(spark, sf_dir, MORE)
+    rows = roles(spark, sf_dir, which)
     left, right = (rows.where(F.col("series") == x).select(F.lit("breadth").alias("series"), "d", F.col("v").alias(n)) for x, n in (("RSP", "a"), ("SPY", "b")))
     breadth = joins.asof(left, right, "series", "d", ["b"]).select("series", "d", F.try_divide("a", "b").alias("v")).where("v is not null")
     return rows.unionByName(rules.spreads(rows, SPREADS)).unionByName(breadth)
@@ -102,7 +87,7 @@ STAT = (
     + ", ".join(f"max(last) / max(v) filter (where rn = {k + 1}) - 1 as r{k}" for k in (21, 63))
     + ", case when count(*) >= 100 then avg(v) filter (where rn <= 200) end as m200, case when count(*) >= 30 then (max(last) - avg(v) filter (where rn <= 252)) / stddev_samp(v) filter (where rn <= 252) end as zr"
     + ", case when count(pc) >= 30 then (max(pc) filter (where rn = 1) - avg(pc) filter (where rn <= 252)) / stddev_samp(pc) filter (where rn <= 252) end as rz, max(last) / max(v) filter (where rn = 6) - 1 as r5, case when count(*) >= 63 then avg(v) filter (where rn <= 63) end as a63, "
-    + ", ".join(f"max(last) / arg_max(v, d) filter (where d <= newest - {k}) - 1 as c{k}" for k in (7, 21, 63))
+    + ", ".join(f"max(last) / arg_max(v, d) filter (where d <= newest - {k}) - 1 as c{k}" for k in (7, 10, 21, 63))
     + " from num group by 1)",
 )
 
@@ -131,32 +116,10 @@ def signal_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("key", six("value", "value", 4), "formatted", six("zscore", "zscore", 3), six("delta", "delta", 4), "colour", "label", F.col("direction").cast("long").alias("direction"))
 
 
-def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: z-scores, the real yield, and a score from SPY's z-score that stands for the regime's."""
-    row = rules.one_row(stats(spark, sf_dir), curve=("curve2", "z"), real_z=("real10", "z"), credit_z=("hy_oas", "z"), dollar=("dollar_broad", "z"), real=("real10", "v"), z=("SPY", "z"))
-    return row.withColumn("score", clip(F.bround(50 + 20 * F.col("z")), 0, 100)).withColumn("tilt", clip((F.col("score") - 50) / 25, -1, 1))
-
-
 def _of(series: str, stat: str) -> str:
     return f"max({stat}) filter (where series = '{series}')"
 
 
-STATE = (
-    f"st0 as (select {_of('curve2', 'z')} as curve, {_of('real10', 'z')} as real_z, {_of('hy_oas', 'z')} as credit_z, {_of('dollar_broad', 'z')} as dollar, {_of('real10', 'v')} as real, greatest(0, least(100, round_even(50 + 20 * {_of('SPY', 'z')}, 0))) as score from cur)",
-    "st as (select *, greatest(-1, least(1, (score - 50) / 25)) as tilt from st0)",
-)
-_COLUMN = {"curve": "curve", "real": "real_z", "credit": "credit_z", "dollar": "dollar", "tilt": "tilt"}
-
-
-@query(
-    with_(*EVERY, *STAT, *STATE, "f as (" + " union all ".join(f"select '{n}' as factor, '{up}' as up, '{down}' as down, " + " + ".join(f"coalesce({_COLUMN[c]}, 0) * ({w})" for c, w in ws.items()) + " as raw from st" for n, up, down, ws in FACTORS) + ")")
-    + f"select factor, {r('greatest(-3, least(3, raw))')} as score, case when raw > 0.3 then up when raw < -0.3 then down else 'Neutral' end as direction from f"
-)
-def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = state(spark, sf_dir).select("curve", F.col("real_z").alias("real"), F.col("credit_z").alias("credit"), "dollar", "tilt")
-    return rules.linear_scores(row, FACTORS).select("factor", six("score", "score"), "direction")
-
-
 @query(
     with_(*EVERY, "c as (select a.d, a.v as v, b.v as y10, e.v as y2 from every a join every b on a.d = b.d and a.series = 'curve2' and b.series = 'y10' join every e on a.d = e.d and e.series = 'y2')", "m as (select *, v - lag(v, 21) over (order by d) as dv, y10 - lag(y10, 21) over (order by d) as d10, y2 - lag(y2, 21) over (order by d) as d2 from c)")
     + f"select {DAY}, {r('v', 9)} as v, case when v >= 0.75 then 'Steep' when v >= 0 then 'Flat / Mildly positive' when v >= -0.25 then 'Shallow inversion' else 'Deep inversion' end as state, case when dv > 0.05 then case when d10 > 0 and d2 < d10 then 'Bear steepener' else 'Bull steepener' end when dv < -0.05 then case when d2 > 0 then 'Bear flattener' else 'Bull flattener' end when dv is not null then 'Stable' end as move from m"
@@ -213,24 +176,6 @@ def copula_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return penalties(weekly_pairs(spark, sf_dir)).select("a", "b", six("tau", "tau"), "flag", six("factor", "factor"))
 
 
-GAPS = (("VIX vs HY OAS", "VIX", "hy_oas", -1, 1.0), ("Curve vs IWM/SPY", "curve2", "small", -1, 1.2), ("GLD vs Real rates", "GLD", "real10", 1, 1.2))
-
-
-@query(
-    with_(*EVERY, *STAT, "g as (" + " union all ".join(f"select '{n}' as name, a.z + ({s}) * b.z as gap, {least} as least from cur a, cur b where a.series = '{x}' and b.series = '{y}'" for n, x, y, s, least in GAPS) + " union all select 'HYG vs Equity breadth', case when a.r63 < -0.02 and b.r63 > 0.03 then (b.r63 - a.r63) * 10 end, 0 from cur a, cur b where a.series = 'HYG' and b.series = 'RSP')")
-    + f"select name, {r('gap')} as gap, abs(gap) > least as open from g"
-)
-def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps between statistics that usually go together; ``open`` beyond each one's threshold."""
-    wanted = {f"{side}{i}": (s, "z") for i, (_, a, b, _, _) in enumerate(GAPS) for side, s in (("a", a), ("b", b))}
-    row = rules.one_row(stats(spark, sf_dir), hyg=("HYG", "r63"), rsp=("RSP", "r63"), **wanted)
-    hyg, rsp = F.col("hyg"), F.col("rsp")
-    cells = [(n, F.col(f"a{i}") + sign * F.col(f"b{i}"), least) for i, (n, _, _, sign, least) in enumerate(GAPS)]
-    cells.append(("HYG vs Equity breadth", F.when((hyg < -0.02) & (rsp > 0.03), (rsp - hyg) * 10), 0.0))
-    out = row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), gap.alias("gap"), F.lit(least).alias("least")) for n, gap, least in cells))).alias("x")).select("x.*")
-    return out.select("name", six("gap", "gap"), (F.abs("gap") > F.col("least")).alias("open"))
-
-
 WATCHED = (("HYG", True), ("TLT", None), ("UUP", False), ("GLD", None))
 
 
@@ -251,32 +196,4 @@ def driver_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(spark, sf_dir).select("series", six("z", "z", 3), rules.z_words(z).alias("words"), rules.z_words(z, inverted=True).alias("inverted"))
 
 
-_IN = ", ".join(map(repr, ASSETS))
-_SAFE = ", ".join(map(repr, SAFE))
-
-
-@query(
-    with_(*EVERY, *STAT, *STATE, f"s as (select series, v, m200, case when series in ({_SAFE}) then -1 else 1 end as side from cur where series in ({_IN}))", "vo as (select series, list_filter([case when score > 55 then side when score < 45 then -side end, case when credit_z > 0.5 then -side when credit_z < -0.5 then side end, case when real > 1.5 then -side when real < 0.5 then side end, case when m200 is not null then case when v > m200 then 1 else -1 end end], lambda x: x is not null) as vs from s, st)", "co as (select series, len(list_filter(vs, lambda x: x > 0)) as pro, len(list_filter(vs, lambda x: x < 0)) as con, len(vs) as n from vo)", "al as (select series, cast(trunc(greatest(15, least(85, 50 + coalesce((pro - con) / nullif(n, 0), 0) * 35))) as bigint) as score, cast(pro as bigint) as n_confirm, cast(con as bigint) as n_against from co)")
-    + "select *, case when score >= 65 then 'BULLISH' when score >= 55 then 'MILD TAILWIND' when score >= 45 then 'NEUTRAL' when score >= 33 then 'MILD HEADWIND' else 'BEARISH' end as label from al"
-)
-def asset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = stats(spark, sf_dir).where(F.col("series").isin(*ASSETS)).select("series", "v", "m200")
-    got = rules.alignment(assets, state(spark, sf_dir).select("score", "credit_z", "real"), SAFE)
-    return got.withColumn("label", rules.alignment_label(F.col("score")))
-
-
-@query(
-    with_(SER, WEEK, *LABELLED, STATS, "now as (select series, arg_max(label, d) as label, cast(trunc(greatest(-6, least(6, arg_max(z, d) * 3))) as bigint) as c from labelled group by 1)", "d as (select g.series, c, wr, gain / nullif(loss, 0) as payoff from g join now on g.series = now.series and g.label = now.label where c <> 0)", "k as (select series, c, case when c > 0 then wr else 1 - wr end as rate, payoff, greatest(0, wr - coalesce((1 - wr) / nullif(payoff, 0), 1e12)) * 0.25 as kl from d)", "z as (select *, case when c > 0 then kl when payoff > 0 then greatest(0, rate - (1 - rate) / payoff) * 0.25 else 0 end as kelly from k)")
-    + f"select series, case when c > 0 then 'long' else 'short' end as direction, c as confluence, {r('rate')} as win_rate, {r('kelly')} as kelly, rate >= 0.48 as validated, {r('kelly * abs(c) / 6 * case when rate >= 0.48 then 1 else 0.1 end * (1 - least(0.3 * 0.5, 0.4))')} as alpha from z"
-)
-def trade_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades under each series' newest label; three times its z-score stands for the confluence, 0.3 for the chance of a worse label."""
-    rows = weekly_labels(spark, sf_dir)
-    now = rows.groupBy("series").agg(F.max_by("label", "d").alias("label"), F.max_by("z", "d").alias("z"))
-    now = now.select("series", "label", clip(F.col("z") * 3, -6, 6).cast("int").cast("long").alias("confluence"))
-    dist = points.distribution(rows, ["series", "label"]).join(now.select("series", "label"), ["series", "label"]).drop("label")
-    got = rules.trades(dist, now.select("series", "confluence"), F.lit(0.3))
-    return got.select("series", "direction", "confluence", six("win_rate", "win_rate"), six("kelly", "kelly"), "validated", six("alpha", "alpha"))
-
-
 __all__ = ["ORACLE", "QUERIES"]

@@ -5,9 +5,11 @@ import os
 import duckdb
 import pytest
 
-from saltmarsh.plans import rule_queries
+from saltmarsh.plans import state_queries
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+#: Only what is out of line is returned, which may be nothing; test_state.py has rows for it.
+MAY_BE_EMPTY = {"divergences"}
 TABLES = ("orders", "lineitem", "events")
 
 
@@ -19,14 +21,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(rule_queries.ORACLE))
+@pytest.mark.parametrize("name", list(state_queries.ORACLE))
 def test_same_rows_as_sql(spark, duck, name):
-    df = rule_queries.QUERIES[name](spark, DIR)
+    df = state_queries.QUERIES[name](spark, DIR)
     names = sorted(df.columns)
-    cursor = duck.execute(rule_queries.ORACLE[name])
+    cursor = duck.execute(state_queries.ORACLE[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == names
     want = sorted((tuple(row[columns.index(c)] for c in names) for row in cursor.fetchall()), key=str)
     got = sorted((tuple(row[c] for c in names) for row in df.collect()), key=str)
     assert got == want
-    assert got
+    assert got or name in MAY_BE_EMPTY
