@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from saltmarsh.plans import state_queries
+from saltmarsh.plans import chart_queries
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 #: Only what is out of line is returned, which may be nothing; test_state.py has rows for it.
@@ -21,11 +21,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(state_queries.ORACLE))
+@pytest.mark.parametrize("name", list(chart_queries.ORACLE))
 def test_same_rows_as_sql(spark, duck, name):
-    df = state_queries.QUERIES[name](spark, DIR)
+    df = chart_queries.QUERIES[name](spark, DIR)
     names = sorted(df.columns)
-    cursor = duck.execute(state_queries.ORACLE[name])
+    cursor = duck.execute(chart_queries.ORACLE[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == names
     want = sorted((tuple(row[columns.index(c)] for c in names) for row in cursor.fetchall()), key=str)
