@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import golay
 from .arrowtext import pieces
 from .components import components
-from .shared import written
+from .shared import shuffle_partitions, written
 
 SHINGLE = 4
 SEED = 42
@@ -153,17 +153,15 @@ def link_rows(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.R
 
 def link_edges(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the different fingerprints ``fp``, whose closure is that of all links."""
-    keys = distinct.mapInArrow(key_rows, "key long, fp long")
+    spread = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    keys = spread.mapInArrow(key_rows, "key long, fp long")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = written(sizes.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "keys")
-    if large.isEmpty():
-        grouped = keys.select(F.col("key").alias("group"), "fp")
-    else:
-        # Row of block i goes to the groups {i, j} for every j; the groups of a key are its pairs of blocks.
-        split = keys.join(large, "key", "left").withColumn("i", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
-        grouped = split.withColumn("j", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).select(
-            F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).alias("group"), "fp"
-        )
+    # Row of block i goes to the groups {i, j} for every j; the groups of a key are its pairs of blocks.
+    split = keys.join(large, "key", "left").withColumn("i", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+    grouped = split.withColumn("j", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).select(
+        F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).alias("group"), "fp"
+    )
     return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: link_rows(it, distance), "a long, b long")
 
 
