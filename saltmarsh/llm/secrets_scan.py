@@ -3,7 +3,7 @@
 The patterns give the base spans.  Every value after a credential word and a separator, in the password
 place of a URL, or assigned in a base span, is cut by dynamic programming into the cheapest row of words,
 dates, repeats, keyboard walks, sequences and brute-force spans.  Words are a short list of frequent passwords and
-then the ``DICTIONARY`` most frequent words of the scanned corpus itself, counted over all of its texts.  A
+then up to ``DICTIONARY`` most frequent words of the scanned corpus itself, counted over all of its texts.  A
 value that needs 10^``GUESSES`` guesses or more (exactly as many: a secret) is a span of kind "guess", unless one base span holds it whole;
 the cost of every value, base ones too, is in ``costs``.  Spans are code points, end exclusive,
 from the start of the match (assign, access, hex) or of the value (guess).
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import pieces, plain
+from .shared import written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -174,12 +175,24 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 
 def corpus_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the listed words and then of the corpus' own, counted over all rows; ``most`` words reach the driver."""
+    """Ranks of the listed words and then of the corpus' own, counted over all rows.
+
+    Counts are put on levels, 16 to a doubling; the levels are taken from the top, whole, as long as their words
+    are ``most`` at most.  So the driver receives a row per level and that many words, whatever the corpus.
+    """
     own = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word")).where(F.length("word").between(*LENGTHS))
-    counted = own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    level = F.floor(F.log2("n") * 16)
+    counted = written(own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("level", level), "words")
+    taken, cut = 0, None
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        taken += r["count"]
+        if taken > most:
+            break
+        cut = r["level"]
     ranks = dict(RANK)
-    for r in counted.collect():
-        ranks.setdefault(r["word"], len(ranks) + 1)
+    if cut is not None:
+        for r in sorted(counted.where(F.col("level") >= cut).collect(), key=lambda r: (-r["n"], r["word"])):
+            ranks.setdefault(r["word"], len(ranks) + 1)
     return ranks
 
 

@@ -97,3 +97,14 @@ def test_words_of_the_corpus_make_a_value_guessable(spark):
     known = [(i, "riverbank and meadowlark by the river") for i in range(1, 9)]
     among = secrets_scan.scan(spark.createDataFrame([(0, phrase), *known], SHORT)).where("doc_id = 0").first()
     assert alone["n_guess"] == 1 and among["n_guess"] == 0
+
+
+def test_most_frequent_words_by_whole_levels(spark):
+    text = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * (2 + i) for i in range(60))
+    df = spark.createDataFrame([(0, text), (1, None)], SHORT)
+    every, some = secrets_scan.corpus_ranks(df), secrets_scan.corpus_ranks(df, most=10)
+    words = sorted((w for w in every if w not in secrets_scan.RANK), key=every.get)
+    assert len(words) == 60 and words[0] == "wordch" and words[-1] == "wordaa"
+    kept = sorted((w for w in some if w not in secrets_scan.RANK), key=some.get)
+    assert 0 < len(kept) <= 10 and kept == words[: len(kept)]
+    assert secrets_scan.corpus_ranks(df.limit(0)) == secrets_scan.RANK
