@@ -228,10 +228,10 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert(rows, fresh).select("series", day(), six("v", "v", 4))
 
 
-@query(with_(SER) + f"select series, year(d) as year, month(d) as month, {r('avg(v) / 1000', 9)} as mean from ser group by 1, 2, 3")
+@query(with_(SER) + f"select series, year(d) as year, month(d) as month, {r('avg(v) / 1000', 4)} as mean from ser group by 1, 2, 3")
 def year_month_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.orders(spark, sf_dir).groupBy("series", F.year("d").cast("long").alias("year"), F.month("d").cast("long").alias("month"))
-    return rows.agg(six(F.avg("v") / 1000, "mean", 9))
+    return rows.agg(six(F.avg("v") / 1000, "mean", 4))
 
 
 @query(with_(SER, f"ret as (select series, d, v / lag(v) {OWN} - 1 as v from ser)", "p as (select *, row_number() over (partition by series order by d desc) as rn from ret where v is not null)") + f"select series, {r('stddev_samp(case when rn <= 63 then v end)')} as recent, {r('stddev_samp(case when rn between 64 and 126 then v end)')} as prior from p group by 1")
