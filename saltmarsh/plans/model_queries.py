@@ -33,9 +33,10 @@ ROLES = (
 
 
 def roles(spark: SparkSession, sf_dir: str, which: tuple = ROLES) -> DataFrame:
+    """Daily values by role, kept by Spark once computed: a plan reads them in a dozen places, and they are days x roles, not facts."""
     both = tables.orders(spark, sf_dir).withColumn("src", F.lit("orders")).unionByName(tables.lines(spark, sf_dir).withColumn("src", F.lit("line")))
     names = spark.createDataFrame(which, "role string, src string, series string, factor double, offset double")
-    return both.join(F.broadcast(names), ["src", "series"]).select(F.col("role").alias("series"), "d", (F.col("v") * F.col("factor") + F.col("offset")).alias("v"))
+    return both.join(F.broadcast(names), ["src", "series"]).select(F.col("role").alias("series"), "d", (F.col("v") * F.col("factor") + F.col("offset")).alias("v")).persist()
 
 
 def weekly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
