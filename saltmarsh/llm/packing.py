@@ -15,6 +15,7 @@ table gives an empty result; columns other than doc_id and text are left out.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,10 +31,9 @@ from .shared import written
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
-#: Rows of one numbering task at most, on average.
-NUMBERED = 50_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A row with its place among its task's rows, so that repeated rows differ.
+WRITTEN = PIECES + ", nth long"
 #: White space of the vocabulary's split pattern other than the ASCII one, and its special token.
 UNUSUAL = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|endoftext\|>"
 
@@ -99,6 +99,7 @@ class Encoder:
 
 def piece_rows(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = Encoder()
+    nth = 0
     for batch in batches:
         for part in pieces(batch, "text"):
             doc_ids = part.column("doc_id").to_pylist()
@@ -116,11 +117,11 @@ def piece_rows(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int) ->
                     crc = zlib.crc32(own[4 * start : 4 * min(stop, count)])
                     if stop > count:
                         crc = zlib.crc32(end, crc)
-                    rows.append((doc_id, piece, start, stop - start, crc))
-                    start, stop, piece = stop, stop + capacity, piece + 1
+                    rows.append((doc_id, piece, start, stop - start, crc, nth))
+                    start, stop, piece, nth = stop, stop + capacity, piece + 1, nth + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"],
             )
 
 
@@ -236,17 +237,18 @@ def place_rows(batches: Iterator[pa.RecordBatch], plan: list[tuple[list[int], in
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: piece_rows(it, capacity, end_id), PIECES)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: piece_rows(it, capacity, end_id), WRITTEN)
     cut = written(cut, "pieces")
-    total = cut.count()
-    salts = -(-max(total, 1) // NUMBERED)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    plan = plan_sequences(counts, capacity)
+    # A length of n pieces has about sqrt(n) groups of sqrt(n) pieces: neither its groups nor the list of them is large.
+    of_length = [math.isqrt(counts.get(length, 0)) + 1 for length in range(capacity + 1)]
+    salts = F.get(F.split(F.lit(" ".join(map(str, of_length))), " ").cast("array<int>"), F.col("length").cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), salts).cast("int"))
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = written(groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths")
-    counts = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = plan_sequences(counts, capacity)
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "nth")
     numbered = (
         salted.withColumn("at", F.row_number().over(within))
         .join(groups.select("length", "salt", "before"), ["length", "salt"])
