@@ -56,7 +56,7 @@ STATE = {
     "y10_month": ("y10", "d30"), "y2_month": ("y2", "d30"), "credit": ("hy_oas", "v"), "credit_z": ("hy_oas", "zr"), "credit_week": ("hy_oas", "d7"), "dollar_z": ("dollar_broad", "zr"), "dollar_week": ("dollar_broad", "c10"),
     "vix": ("VIX", "v"), "vix_z": ("VIX", "zr"), "vix_pct": ("VIX", "pct"), "vratio": ("vratio", "v"), "vix3m": ("VIX3M", "v"), "fed_z": ("fed_assets", "zr"), "fed_growth": ("fed_assets", "r63"), "small_z": ("small", "zr"), "small_week": ("small", "c7"),
     "gld_z": ("GLD", "zr"), "iwm_z": ("IWM", "zr"), "hyg_quarter": ("HYG", "c63"), "rsp_quarter": ("RSP", "c63"), "spy_quarter": ("SPY", "c63"), "cpi_yoy": ("cpi_yoy", "v"), "be": ("be10", "v"), "fwd": ("forward", "v"), "fwd_week": ("forward", "d7"),
-    "fed_funds": ("fed_funds", "v"), "spy": ("SPY", "v"), "spy_200": ("SPY", "m200"), "qqq_spy_z": ("qqq_spy", "zr"), "btc_gld_z": ("btc_gld", "zr"), "slv_gld_z": ("slv_gld", "zr"),
+    "fed_funds": ("fed_funds", "v"), "spy": ("SPY", "v"), "spy_200": ("SPY", "m200"), "qqq_spy_z": ("qqq_spy", "zr"), "btc_gld_z": ("btc_gld", "zr"), "slv_gld_z": ("slv_gld", "zr"), "cpi_z": ("cpi_yoy", "zr"), "be_z": ("be10", "zr"),
 }
 STATE_SQL = "st as (select " + ", ".join(f"max({c}) filter (where series = '{s}') as {n}" for n, (s, c) in STATE.items()) + ", (select score from sc where d = 'now') as score, (select score from sc where d = 'before') as score_before from cur)"
 STATE_BASE = (*BASE, *REGIME, STATE_SQL)
@@ -437,11 +437,11 @@ def degrade(labels: DataFrame, now: DataFrame, least: int = 20) -> DataFrame:
 
 #: The history beside the snapshot in one SQL text: its tables get names of their own.
 _TABLES = ("every", "s1", "vixp", "s2", "s3", "fri", "asked", "met", "wide", "gold", "gl", "pil", "pen", "raw", "sc")
-_RENAMED = tuple(re.sub(rf"\b({'|'.join(_TABLES)})\b(?= as \(|\.|$| |,|\))(?!\w)", lambda m: f"h_{m[1]}", x) for x in HISTORY_SQL[3:])
+RENAMED_HISTORY = tuple(re.sub(rf"\b({'|'.join(_TABLES)})\b(?= as \(|\.|$| |,|\))(?!\w)", lambda m: f"h_{m[1]}", x) for x in HISTORY_SQL[3:])
 
 
 @query(
-    with_(*CONFLUENCE_SQL, *_RENAMED, *(x.replace("from sc", "from h_sc") for x in FORWARD), f"mk as (select {_RANK} as k, lead({_RANK}) over (order by d) as t, count(*) over () as weeks, label from lab)", f"nw as (select {LABEL_SQL} as label from sc where d = 'now')", "dg as (select case when max(weeks) >= 20 then coalesce(avg(case when t < k then 1.0 else 0.0 end) filter (where mk.label = nw.label and t is not null), 0) else 0 end as degrade from mk cross join nw)", "k as (select cf.series, confluence as c, wr, gain / nullif(loss, 0) as payoff, degrade, case when confluence > 0 then wr else 1 - wr end as rate from g join nw on g.label = nw.label join cf on cf.series = g.series cross join dg where confluence <> 0)", "z as (select *, case when c > 0 then greatest(0, wr - coalesce((1 - wr) / nullif(payoff, 0), 1e12)) * 0.25 when payoff > 0 then greatest(0, rate - (1 - rate) / payoff) * 0.25 else 0 end as kelly from k)", "al as (select *, kelly * abs(c) / 6.0 * case when rate >= 0.48 then 1 else 0.1 end * (1 - least(degrade * 0.5, 0.4)) as alpha from z)")
+    with_(*CONFLUENCE_SQL, *RENAMED_HISTORY, *(x.replace("from sc", "from h_sc") for x in FORWARD), f"mk as (select {_RANK} as k, lead({_RANK}) over (order by d) as t, count(*) over () as weeks, label from lab)", f"nw as (select {LABEL_SQL} as label from sc where d = 'now')", "dg as (select case when max(weeks) >= 20 then coalesce(avg(case when t < k then 1.0 else 0.0 end) filter (where mk.label = nw.label and t is not null), 0) else 0 end as degrade from mk cross join nw)", "k as (select cf.series, confluence as c, wr, gain / nullif(loss, 0) as payoff, degrade, case when confluence > 0 then wr else 1 - wr end as rate from g join nw on g.label = nw.label join cf on cf.series = g.series cross join dg where confluence <> 0)", "z as (select *, case when c > 0 then greatest(0, wr - coalesce((1 - wr) / nullif(payoff, 0), 1e12)) * 0.25 when payoff > 0 then greatest(0, rate - (1 - rate) / payoff) * 0.25 else 0 end as kelly from k)", "al as (select *, kelly * abs(c) / 6.0 * case when rate >= 0.48 then 1 else 0.1 end * (1 - least(degrade * 0.5, 0.4)) as alpha from z)")
     + f"select series, case when c > 0 then 'long' else 'short' end as direction, c as confluence, {r('rate')} as win_rate, {r('kelly')} as kelly, rate >= 0.48 as validated, {r('alpha')} as alpha, row_number() over (partition by c > 0 order by round(alpha, 9) desc, series) as place from al qualify place <= case when c > 0 then 6 else 4 end"
 )
 def trade_table(spark: SparkSession, sf_dir: str) -> DataFrame:
