@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import golay
 from .arrowtext import pieces
-from .components import components
+from .components import components, with_least
 from .shared import shuffle_partitions, written
 
 SHINGLE = 4
@@ -174,6 +174,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     edges = written(link_edges(distinct.select("fp"), distance), "edges").distinct()
     roots = written(components(edges), "roots")
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    named = with_least(named, "root", "first", "component_id").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
