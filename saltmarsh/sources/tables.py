@@ -66,3 +66,15 @@ def write(df: DataFrame, path: str) -> None:
 def points(series: DataFrame) -> DataFrame:
     """JSON lines {"date", "value"} with values to five places, per series."""
     return series.where("v is not null").select("series", F.to_json(F.struct(F.date_format("d", "yyyy-MM-dd").alias("date"), F.round("v", 5).alias("value"))).alias("value"))
+
+
+def tickers(names: Column) -> Column:
+    """The names of an array that are not null or blank, each once, in order."""
+    return F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (F.trim(x) != "")))
+
+
+def write_context(row: DataFrame, path: str) -> None:
+    """A context row as JSON under path/json and as a Markdown list, a line a column, under path/md."""
+    row.write.mode("overwrite").json(f"{path}/json")
+    lines = F.concat_ws("\n", *(F.concat(F.lit(f"- **{c}**: "), F.coalesce(F.col(c).cast("string"), F.lit("n/a"))) for c in row.columns))
+    row.select(lines.alias("value")).write.mode("overwrite").text(f"{path}/md")
