@@ -44,15 +44,15 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 6 << 20) -> Iterator
         start = stop
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in ``data``, and the number of words of each text.
 
-    No word crosses from one text into the next.
+    Words lie between bytes marked in ``space``; none crosses from one text into the next.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    word = ~SPACE[data]
+    word = ~space[data]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     begins = word.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets_scan, simhash
+from . import ann, bpe, divergence, html_extract, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets_scan, simhash
 
 #: Key of the surrogates where the session sets none; real data need a secret one in spark.saltmarsh.surrogates.key.
 DEMONSTRATION_KEY = "not a secret"
@@ -64,6 +64,14 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,7 +85,49 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_pii_surrogates,
         op10_ngram_quality,
+        op11_bpe_round_trip,
+        op12_source_divergence,
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: Every group's share of every kept term, laid out in full and summed.
+SOURCE_DIVERGENCE = r"""
+with docs as (
+    select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+    from documents
+),
+words as (select lang, source, doc, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as total from words group by lang, term having count(distinct doc) >= 3),
+sizes as (select lang, count(*) as v, sum(total) as lang_n from kept group by lang),
+counts as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by lang, source, term),
+groups as (select distinct lang, source from docs),
+each_term as (
+    select g.lang, g.source, k.term, k.total, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as size
+    from groups g join kept k using (lang) left join counts c using (lang, source, term)
+),
+shares as (
+    select lang, source, term, n,
+        1 + (1000000000::hugeint * (n + 1)) // (size + v)::hugeint as p,
+        1 + (1000000000::hugeint * (total + 1)) // (lang_n + v)::hugeint as q
+    from each_term join sizes using (lang)
+),
+pairs as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by a.lang, a.source, b.source
+),
+all_pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from shares where n > 0 and p > q),
+ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+    from (select * from all_pairs union all select * from terms)
+)
+select * from ranked where part = 'pair' or rank <= 200
+"""
+
+ORACLE: dict[str, str] = {"op12_source_divergence": SOURCE_DIVERGENCE}
