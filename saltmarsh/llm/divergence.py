@@ -38,7 +38,7 @@ SCALE = 1_000_000_000
 #: Terms of a language that one task of a pair merges.
 CHUNK = 1 << 17
 #: Bytes of text that are counted together.
-TOGETHER = 64 << 20
+TOGETHER = 16 << 20
 #: Ids of the shorter array that gallop as one.
 GALLOP = 1024
 COUNTED = "lang string, source string, term string, n long, docs long"
