@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, divergence, html_extract, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets_scan, simhash
+from . import ann, bpe, divergence, html_extract, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, secrets_scan, simhash, turn_trie
 
 #: Key of the surrogates where the session sets none; real data need a secret one in spark.saltmarsh.surrogates.key.
 DEMONSTRATION_KEY = "not a secret"
@@ -72,6 +72,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
         op10_ngram_quality,
         op11_bpe_round_trip,
         op12_source_divergence,
+        op13_conversation_trie,
     )
 }
 
@@ -130,4 +135,57 @@ ranked as (
 select * from ranked where part = 'pair' or rank <= 200
 """
 
-ORACLE: dict[str, str] = {"op12_source_divergence": SOURCE_DIVERGENCE}
+#: A node's key is the text of all turns up to it, with their lengths; its smallest member's path leads through all nodes above it.
+CONVERSATION_TRIE = """
+with turns as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (
+            partition by conv_id
+            order by turn nulls first, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), length(coalesce(text, ''))
+        ) as pos
+    from conversations where conv_id is not null
+),
+convs as (
+    select conv_id, conv_id - conv_id % 100 as family,
+        xor(list_reduce(
+            list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint),
+            lambda crc, c: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(crc, c)),
+            4294967295::bigint
+        ), 4294967295) % 6 as h
+    from (select distinct conv_id from turns)
+),
+rebuilt as (
+    select c.conv_id, 0 as own, t.pos, t.role, t.text from convs c join turns t on t.conv_id = c.family and t.pos <= c.h
+    union all
+    select c.conv_id, 1, t.pos, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h
+),
+numbered as (
+    select *, row_number() over (partition by conv_id order by own, pos) as depth,
+        concat(length(role), ':', length(text), ':', role, text) as turn
+    from rebuilt
+),
+path as (
+    select conv_id, 0::bigint as depth, '' as key, 0::bigint as size from convs
+    union all
+    select conv_id, depth, string_agg(turn, '') over (partition by conv_id order by depth), length(text) from numbered
+),
+steps as (
+    select *, lag(key) over (partition by conv_id order by depth) as above, depth = max(depth) over (partition by conv_id) as ends from path
+),
+nodes as (
+    select depth, key, min(conv_id) as conv_id, any_value(above) as above, count(*) as n_convs, any_value(size) as size,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+    from steps group by depth, key
+),
+children as (select depth - 1 as depth, above as key, count(*) as n_children from nodes where depth > 0 group by all),
+counted as (select n.*, coalesce(c.n_children, 0) as n_children from nodes n left join children c using (depth, key)),
+subtrees as (
+    select p.depth, p.key, count(*) filter (where c.n_children = 0) as n_leaves, sum((c.n_convs - 1) * c.size)::bigint as saved_tokens
+    from counted c join path p on p.conv_id = c.conv_id and p.depth <= c.depth
+    group by p.depth, p.key
+)
+select c.conv_id, c.depth, up.conv_id as parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+from counted c join subtrees s using (depth, key) left join nodes up on up.depth = c.depth - 1 and up.key = c.above
+"""
+
+ORACLE: dict[str, str] = {"op13_conversation_trie": CONVERSATION_TRIE, "op12_source_divergence": SOURCE_DIVERGENCE}
