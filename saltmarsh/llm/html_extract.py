@@ -1,14 +1,16 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's parser streams its events; text between block tags is a line.  A line's score is its
-text that is no link, divided by its tags, with a bonus inside article and main elements and for paragraphs.
-Lines in elements that the page itself names as something else (navigation, aside, form, header and footer of
-the page, hidden elements, and elements whose class, id or role says advert, menu, comments and so on) score
-zero; inside an article a less certain word halves the score instead, and a word on an element around
-the page's main heading says nothing.  The scores in page order are smoothed with a Gaussian; a threshold
-from clustering the smoothed scores into low and high ones, within ``BOUNDS``, leaves contiguous regions of high
-lines; a region begins and ends at a line that reaches the threshold by itself (headings may begin it), and
-short lines between stay.  All regions are the text, in page order.  Where no line is high, all lines with a score are.
+text that is no link, divided by its tags, times what speaks for or against it: an article around it, a
+paragraph; or that the page itself names it as something else (navigation, aside, form, header and footer of the page, hidden
+elements, and elements whose class, id or role says advert, menu, comments and so on).  Nothing is ruled out by a name alone.
+The scores in page order are smoothed with a Gaussian; a threshold from clustering the smoothed scores into low and high ones
+leaves contiguous regions of high lines; an article with a high line is in its region as a whole.  A line that something speaks
+against must reach the threshold by itself; at the ends of a region so must any line but those of an article; headings right before
+a region belong to it.  All regions are the text, in page order; where no line is high, all lines with a score are.
+
+A class of words that all say so speaks against its element strongly, one with another word beside them ("social-history") only
+a little, and only outside an article or around no main heading; a first word like "has" or "no" says what else is on the page.
 
 Null and empty pages give an empty text; pages without markup are their text; scores at the threshold
 count as high; repeated rows are rows of their own; an empty table gives an empty result; other columns are
@@ -41,7 +43,7 @@ PROSE = frozenset("p blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-# Words of a class, id or role.  Certain ones are never the article; the others are not outside of one.
+# Words of a class, id or role that say what an element is, surely or likely, and words that add nothing to them.
 CERTAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar footer masthead"
     " cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social comment comments commentlist disqus hidden complementary contentinfo".split()
@@ -50,17 +52,20 @@ LIKELY = frozenset(
     "side aside rail widget toc header topbar toolbar bottom copyright legal notice notices alert overlay dialog toast signup login register search form follow related recommended recommendations trending popular"
     " discussion replies reply responses respond review reviews skip".split()
 )
-#: First words of a class that says what else is on the page.
-ABOUT = frozenset("has no with without is not show".split())
+NEUTRAL = frozenset(
+    "site main page top left right inner outer wrap wrapper container content box block area section list item items group row column col bar panel slot unit links link buttons button icons icon label title text body head js"
+    " primary secondary global sticky fixed close small large mobile desktop google".split()
+)
+#: Words of a class that says what else is on the page, if they come first or last.
+ABOUT = frozenset("has no with without is not show open closed enabled disabled allowed".split())
 PARTS = re.compile(r"(?<=[a-z])(?=[A-Z])|[\s_-]+|(?<=\D)(?=\d)")
 
 SIGMA = 1.0
-#: Scores of lines inside article or main, and of paragraphs.
-ARTICLE, PARAGRAPH = 25.0, 6.0
-#: What an uncertain word inside an article leaves of the score.
-DOUBT = 0.5
-#: Least and greatest threshold: more text per tag is always content, less never.
-BOUNDS = (3.0, 12.0)
+#: What the score of a line is multiplied by: inside article or main, in a paragraph, under a name that surely or likely says
+#: something else, and in an element that is no content.
+ARTICLE, PARAGRAPH, SURE, LIKELY_NOT, CHROME_SCORE = 2.0, 1.25, 0.02, 0.5, 0.005
+#: Least threshold, in characters a tag.
+LEAST = 3.0
 
 
 class Line:
@@ -74,21 +79,26 @@ class Line:
 
 
 class Marker:
-    """An element with a word in its class, id or role; 0 is none."""
+    """An element with a word in its class, id or role, and what ``said`` gives for it; marker 0 is none."""
 
-    __slots__ = ("outer", "certain", "titles")
+    __slots__ = ("outer", "word", "titles")
 
-    def __init__(self, outer: int, certain: bool, titles: int):
-        self.outer, self.certain, self.titles = outer, certain, titles
+    def __init__(self, outer: int, word: int, titles: int):
+        self.outer, self.word, self.titles = outer, word, titles
 
 
 def said(value: str) -> int:
-    """2 if a class, id or role says for certain that this is no article, 1 if it does so likely, else 0."""
+    """What a class, id or role says: 3 surely no article, 2 likely none, 1 one of such words beside others, 0 nothing."""
     most = 0
     for name in value.split():
         parts = [p.lower() for p in PARTS.split(name) if p]
-        if parts and parts[0] not in ABOUT:
-            most = max(most, 2 if CERTAIN.intersection(parts) else 1 if LIKELY.intersection(parts) else 0)
+        if not parts or parts[0] in ABOUT or parts[-1] in ABOUT:
+            continue
+        alone = all(p in CERTAIN or p in LIKELY or p in NEUTRAL or p.isdigit() for p in parts)
+        if CERTAIN.intersection(parts):
+            most = max(most, 3 if alone else 1)
+        elif LIKELY.intersection(parts):
+            most = max(most, 2 if alone else 1)
     return most
 
 
@@ -100,7 +110,7 @@ class Events(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # name, unseen, excluded, marker before it
         self.names: Counter[str] = Counter()
-        self.markers = [Marker(0, False, 0)]
+        self.markers = [Marker(0, 0, 0)]
         self.around: set[int] = set()  # markers with a main heading inside
         self.unseen = self.excluded = self.links = self.titles = self.marker = 0
         self.line: Line | None = None
@@ -154,7 +164,7 @@ class Events(HTMLParser):
         self.open.append((tag, unseen, out, self.marker))
         word = max((said(v) for n, v in attrs if n in ("class", "id", "role") and v), default=0) if tag not in HEADINGS and tag not in ("html", "body", "main") else 0
         if word:
-            self.markers.append(Marker(self.marker, word == 2, self.titles))
+            self.markers.append(Marker(self.marker, word, self.titles))
             self.marker = len(self.markers) - 1
         self.names[tag] += 1
         self.unseen += unseen
@@ -222,7 +232,7 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(smoothed: np.ndarray) -> float:
-    """Halfway between the centres of low and high scores, as logarithms, within the bounds."""
+    """Halfway between the centres of low and high scores, as logarithms."""
     logs = np.log1p(smoothed)
     low, high = logs.min(), logs.max()
     for _ in range(20):
@@ -234,40 +244,51 @@ def threshold(smoothed: np.ndarray) -> float:
         if now == (low, high):
             break
         low, high = now
-    return float(np.clip(np.expm1((low + high) / 2), *BOUNDS))
+    return max(float(np.expm1((low + high) / 2)), LEAST)
 
 
 def scores(events: Events) -> tuple[np.ndarray, np.ndarray]:
     """The score of every line, and whether it is marked, so that it must reach the threshold by itself."""
-    strength = [0]  # of the markers around a line: 0 none, 1 likely, 2 certain
+    strength = [0]  # of the markers around a line
     for at, marker in enumerate(events.markers[1:], 1):
-        own = 0 if at in events.around else 1 + marker.certain
+        own = 0 if at in events.around else marker.word
         strength.append(max(own, strength[marker.outer]))
     out, marked = np.zeros(len(events.lines)), np.zeros(len(events.lines), dtype=bool)
     for i, line in enumerate(events.lines):
-        said_here = strength[line.marker]
-        marked[i] = said_here > 0 or line.excluded
-        if line.excluded or said_here == 2 or said_here == 1 and not line.inside:
-            continue
+        against = strength[line.marker]
         ratio = (line.size - min(line.linked, line.size)) / max(line.tags, 1)
-        out[i] = DOUBT * ratio if said_here else ratio + ARTICLE * line.inside + PARAGRAPH * (line.prose and ratio > 0)
+        if line.excluded:
+            ratio *= CHROME_SCORE
+        if against:
+            ratio *= SURE if against == 3 or against == 2 and not line.inside else LIKELY_NOT
+        if not line.excluded and not against:
+            ratio *= (ARTICLE if line.inside else 1) * (PARAGRAPH if line.prose else 1)
+        out[i], marked[i] = ratio, line.excluded or against > 1 or against == 1 and not line.inside
     return out, marked
 
 
-def chosen(own: np.ndarray, marked: np.ndarray, headings: np.ndarray) -> np.ndarray:
+def chosen(own: np.ndarray, marked: np.ndarray, headings: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """Which lines are content."""
     smoothed = smooth(own)
     least = threshold(smoothed)
     reached = own >= least
-    high = (smoothed >= least) & (~marked | reached)
+    above = smoothed >= least
+    article = inside & ~marked
+    runs = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(int)))
+    for a, b in runs.reshape(-1, 2).tolist():  # an article with a high line of its own is a region as a whole
+        if (above & article)[a:b].any():
+            above[a:b] |= article[a:b]
     keep = np.zeros(len(own), dtype=bool)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], smoothed >= least, [False]]).astype(int)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], above, [False]]).astype(int)))
     for a, b in edges.reshape(-1, 2).tolist():
-        while a < b and not reached[a] and not (headings[a] and not marked[a]):
+        while a < b and not reached[a] and not article[a] and not (headings[a] and not marked[a]):
             a += 1
-        while a < b and not reached[b - 1]:
+        while a < b and not reached[b - 1] and not article[b - 1]:
             b -= 1
-        keep[a:b] = high[a:b]
+        while a < b and a and headings[a - 1] and not marked[a - 1]:
+            a -= 1
+            above[a] = True
+        keep[a:b] = (above & (~marked | reached))[a:b]
     return keep if keep.any() else (own > 0)
 
 
@@ -278,7 +299,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     own, marked = scores(events)
-    keep = chosen(own, marked, np.array([x.heading for x in lines]))
+    keep = chosen(own, marked, np.array([x.heading for x in lines]), np.array([x.inside for x in lines]))
     return " ".join(w for x, kept in zip(lines, keep.tolist(), strict=True) if kept for w in x.words)
 
 
