@@ -17,8 +17,9 @@ is reached as soon as any other; they end when the targets are met, not after a
 Rows without words have rate 1.  Null texts are empty texts; labelled rows are those with a domain among
 the targets and a doc_id that the labelled table holds (repeated or null ids there count once or not);
 a target domain without labelled rows is left out and the other targets keep their proportions; without
-labelled rows all rates are 1.  Repeated rows are rows of their own; an empty table gives an empty
-result.  Columns named like the results are replaced.
+labelled rows all rates are 1.  Repeated rows are rows of their own and share the copies of all of them;
+rows that share a doc_id, or have none, are told apart by their texts.  A very long text is one row's words.
+An empty table gives an empty result.  Columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ STEPS = 500
 TOLERANCE = 1e-4
 #: Steps without a gain after which the targets count as out of reach.
 PATIENCE = 20
+#: Equal rows that one task lays out.
+BLOCK = 4096
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Shares of words by language of the production mix.
 TARGETS = {"de": 0.15, "en": 0.5, "es": 0.15, "fr": 0.2}
@@ -179,15 +182,33 @@ def mix_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets:
     """doc_id, source, n_tokens, posteriors p_<domain>, rate and copies of every row."""
     targets = targets or TARGETS
     model = train(docs, labels, domain, targets)
-    some = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    some = docs.select("doc_id", "source", text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__text"))
     if not model.domains:
-        table = some.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
+        table = some.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n_tokens"), "__text")
     else:
         table = model.with_posteriors(some).drop("text")
     table = written(table, "members")
     rated = table.withColumn("rate", rate(model.domains, fit(table, model.domains, targets)))
     missing = {f"p_{d}": F.lit(0.0) for d in targets if d not in model.domains}
-    return rated.withColumns(missing).withColumn("copies", copies(F.col("rate"), "doc_id", "source")).select("doc_id", "source", "n_tokens", *(f"p_{d}" for d in targets), "rate", "copies")
+    return dealt_copies(rated.withColumns(missing)).select("doc_id", "source", "n_tokens", *(f"p_{d}" for d in targets), "rate", "copies")
+
+
+def dealt_copies(rated: DataFrame) -> DataFrame:
+    """Adds copies to every row: equal rows (doc_id, source, __text) share what their rates add up to, as evenly as whole numbers go.
+
+    The sum of a group of equal rows is rounded once, by a hash of the row, so a group of any size meets its share of the target.
+    Groups are dealt out again in blocks of ``BLOCK`` rows before they are laid out, so none is laid out by one task.
+    """
+    key = ["doc_id", "source", "__text"]
+    rest = [c for c in rated.columns if c not in key]
+    groups = rated.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"), *(F.first(c).alias(c) for c in rest))
+    groups = groups.withColumn("__sum", copies(F.col("rate") * F.col("__rows"), *key))
+    blocks = groups.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / BLOCK)))).repartition(*key, "__block")
+    last = F.least((F.col("__block") + 1) * BLOCK, F.col("__rows")) - 1
+    each = blocks.withColumn("__nth", F.explode(F.sequence(F.col("__block") * BLOCK, last)))
+    share = F.floor(F.col("__sum") / F.col("__rows")) + F.when(F.col("__nth") < F.col("__sum") % F.col("__rows"), 1).otherwise(0)
+    return each.withColumn("copies", share.cast("long"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
