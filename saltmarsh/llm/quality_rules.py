@@ -9,7 +9,7 @@ its n-grams divided by their number, and it is kept from ``THRESHOLD`` on, the s
 Both counts cover all rows, pre-aggregated in every task to at most a row per bucket.  Windows are
 compared by chained 64-bit hashes of their words.  All of a row's work is done in the row.
 
-Null texts are empty texts (no words, failed); labels that are null or whose doc_id is null are left out,
+Null texts are empty texts (no words, failed); a very long text is one row's work, read whole; labels that are null or whose doc_id is null are left out,
 of repeated labels of a doc_id the majority counts; without labelled rows all scores are 0 and the rules
 alone decide; repeated rows are rows of their own; an empty table gives an empty result; other columns
 are left out.
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import numbers, summed, words
+from .shared import written
 
 BUCKETS = 1 << 13
 SMOOTHING = 1.0
@@ -92,18 +93,21 @@ def bucket(hash_: Column) -> Column:
 def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """Log ratio of every bucket, from all documents and all that are labelled as good."""
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("__label")).where("__id is not null and __label is not null")
-    good = marks.groupBy("__id").agg(F.avg("__label").alias("__label")).where("__label >= 0.5").select("__id", F.lit(1).alias("__good"))
-    # The join deals out texts, not their hashes, which are larger.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
-    texts = texts.select(F.col("__good").isNotNull().alias("good"), hashes(F.col("text")).alias("__w"))
-    right, size = after("__w", 1)
-    grams = F.concat(F.transform("__w", bucket), F.transform(joined(F.col("__w"), right, size), bucket))
-    counted = texts.select("good", F.explode(grams).alias("b")).groupBy("b", "good").agg(F.count(F.lit(1)).alias("n"))
+    good = written(marks.groupBy("__id").agg(F.avg("__label").alias("__label")).where("__label >= 0.5").select("__id"), "good")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def counted(rows: DataFrame) -> dict[int, int]:
+        hashed = rows.select(hashes(F.col("text")).alias("__w"))
+        right, size = after("__w", 1)
+        grams = F.concat(F.transform("__w", bucket), F.transform(joined(F.col("__w"), right, size), bucket))
+        counts = hashed.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        return {r["b"]: r["n"] for r in counts.collect()}  # at most a row per bucket
+
+    # All texts are counted where they are read; only the labelled ones are looked up, and a null id is none.
     target, corpus = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counted.collect():  # at most two rows per bucket
-        corpus[r["b"]] += r["n"]
-        if r["good"]:
-            target[r["b"]] += r["n"]
+    for counts, rows in ((target, texts.join(good, F.col("doc_id") == F.col("__id"), "left_semi")), (corpus, texts)):
+        for b, n in counted(rows).items():
+            counts[b] = n
     if not target.any():
         return np.zeros(BUCKETS)
     share = [(x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS) for x in (target, corpus)]
