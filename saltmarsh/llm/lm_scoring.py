@@ -1,3 +1,25 @@
+"""Language-model scoring: prediction by partial matching over a byte-context trie.
+
+Counts of the byte that follows every context of up to ``ORDER`` bytes are taken over all training texts.  At a
+context of n occurrences and d different symbols (without those that a longer context has seen, which are
+excluded), an escape takes d / (n + d) and a symbol its count / (n + d); below the empty context all symbols left
+are alike.  A symbol's probability in a context is thus fixed once the trie is, so the model is a table and a
+text is scored by look-ups.
+
+No context is left out, so the trie grows with the corpus.  Contexts of up to ``SHORT`` bytes, at most 256**SHORT of
+them, are sent to all tasks; longer ones are a table dealt by a context's last bytes, and their probabilities are joined to
+the blocks of texts that hold them.
+
+The base score adds up add-one probabilities of the text's words and its end.  Words are counted in
+blocks: the different words of a block of rows (a file split, or a hash of the rows where there are no
+files), counts added by word, and the counts joined back to the blocks.  No table of all words is sent
+anywhere; a word of every block is a row per block.  A-Z are lower-cased in both scores.
+
+Null texts are empty texts (the end alone); a very long text is scored whole, as a piece of its own; a null doc_id counts
+as the empty string in the training split; repeated rows are rows of their own, in training as well; without training rows all
+counts are zero and the model is uniform; an empty table gives an empty result; other columns, whatever their names, are left out.
+"""
+
 from __future__ import annotations
 
 from collections.abc import Iterator

@@ -145,8 +145,11 @@ def burst(paths: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFr
             F.min("least").alias("least"), F.sum("n").alias("n"), F.min("at").alias("at"), F.min("parent").alias("parent"),
         )
         large = groups.where((F.col("paths") > limit) | ((F.col("bytes") > BYTES) & (F.col("paths") > 1))).withColumn("depth", shared_turns("low", "high"))
-        above = heads[-1].select(F.col("key").alias("head"), F.concat("up", F.array("key")).alias("up"))
-        large = large.join(above, "head").select(
+        if len(heads) == 1:
+            large = large.withColumn("up", F.array(F.lit(root)))
+        else:
+            large = large.join(heads[-1].select(F.col("key").alias("head"), F.concat("up", F.array("key")).alias("up")), "head")
+        large = large.select(
             F.unhex(F.substring(F.sha2(part("low", 0, F.col("depth")), 256), 1, 2 * DIGEST)).alias("key"), "head", "next", "up", "at", "depth",
             part("low", F.col("at"), F.col("depth") - F.col("at")).alias("records"), "least", "n", "parent",
         )
