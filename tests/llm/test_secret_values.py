@@ -2,7 +2,9 @@
 
 import itertools
 import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -67,8 +69,6 @@ def cheapest(value, ranks):
 
 
 def test_costs_are_those_of_the_cheapest_segmentation():
-    import random
-
     rng, ranks = random.Random(5), {**secrets_scan.RANK, "correct": 900, "horse": 901, "battery": 902}
     parts = ["correct", "Horse", "b4ttery", "1999", "qwert", "aaaa", "abcabc", "x9", "K!", "2021-03-04", "zz", "7"]
     for _ in range(300):
@@ -99,12 +99,63 @@ def test_words_of_the_corpus_make_a_value_guessable(spark):
     assert alone["n_guess"] == 1 and among["n_guess"] == 0
 
 
-def test_most_frequent_words_by_whole_levels(spark):
-    text = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * (2 + i) for i in range(60))
-    df = spark.createDataFrame([(0, text), (1, None)], SHORT)
-    every, some = secrets_scan.corpus_ranks(df), secrets_scan.corpus_ranks(df, most=10)
-    words = sorted((w for w in every if w not in secrets_scan.RANK), key=every.get)
-    assert len(words) == 60 and words[0] == "wordch" and words[-1] == "wordaa"
-    kept = sorted((w for w in some if w not in secrets_scan.RANK), key=some.get)
-    assert 0 < len(kept) <= 10 and kept == words[: len(kept)]
-    assert secrets_scan.corpus_ranks(df.limit(0)) == secrets_scan.RANK
+def test_words_within_values_are_not_words_of_the_corpus(spark):
+    """A copied secret stays one: what counts is the corpus outside of the values."""
+    rows = [(i, "passphrase: riverbankmeadowlark") for i in range(50)]
+    assert all(r["n_guess"] == 1 for r in secrets_scan.scan(spark.createDataFrame(rows, SHORT)).collect())
+    rows.append((99, "a riverbank or a meadowlark"))
+    assert all(r["n_guess"] == 0 for r in secrets_scan.scan(spark.createDataFrame(rows, SHORT)).collect())
+
+
+def plain_ranks(texts):
+    """Ranks from a count of all words outside of the values."""
+    counts = Counter()
+    for text in texts:
+        text = text or ""
+        at = 0
+        for a, b in [*secrets_scan.values_of(text, secrets_scan.base_spans(text)), (len(text), len(text))]:
+            if a >= at:
+                counts.update(re.findall("[a-z]+", text[at:a].lower()))
+            at = max(at, b)
+    levels = {w: math.floor(math.log2(n) * secrets_scan.LEVELS) for w, n in counts.items() if 4 <= len(w) <= 16}
+    return {w: len(secrets_scan.RANK) + 1 + sum(other > k for other in levels.values()) for w, k in levels.items()}
+
+
+def test_all_words_have_ranks_and_costs_follow(spark):
+    rng = random.Random(4)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(20)] + [f"pin: {a.title()}{b}{rng.randrange(99)} end {a}" for a, b in itertools.pairwise(words)]
+    texts += [None, "", 'Passwort ist "wordaa wordab wordzz"', "password=wordaa password: wordab!x9Kq2vLm"]
+    df = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], SHORT)
+    want = plain_ranks(texts)
+    values = spark.createDataFrame([(w,) for t in texts for w in secrets_scan.words_in(t or "", secrets_scan.values_of(t or "", secrets_scan.base_spans(t or "")))], "word string").groupBy("word").count().withColumnRenamed("count", "n")
+    assert {r.word: r["rank"] for r in secrets_scan.word_ranks(df, values).collect()} == want
+    got = sorted((r.spans, r.costs) for r in secrets_scan.scan(df).collect())
+    plain = []
+    for t in texts:
+        t = t or ""
+        base = secrets_scan.base_spans(t)
+        costs = ",".join(f"{a}:{b}:{secrets_scan.guess_digits(t[a:b], want | secrets_scan.RANK):.2f}" for a, b in secrets_scan.values_of(t, base))
+        plain.append((",".join(map(str, secrets_scan.find_spans(t, ranks=want | secrets_scan.RANK))), costs))
+    assert got == sorted(plain)
+    assert secrets_scan.scan(df.limit(0)).collect() == [] and secrets_scan.redacted(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text, value", [
+    ("Passwort: Gr7#kQ2$mZ8vT9", "Gr7#kQ2$mZ8vT9"), ("Das Kennwort lautet Gr7kQ2mZ8vT9x!", "Gr7kQ2mZ8vT9x"), ("la contraseña es Zq7kQ2mZ8vT9x", "Zq7kQ2mZ8vT9x"), ("CONTRASEÑA = Zq7kQ2mZ8vT9x", "Zq7kQ2mZ8vT9x"), ("mot de passe : Zq7kQ2mZ8vT9x", "Zq7kQ2mZ8vT9x"),
+    ("la clé est Zq7kQ2mZ8vT9x ici", "Zq7kQ2mZ8vT9x"), ("passphrase: 'xq zv kj wq pf gh' end", "xq zv kj wq pf gh"), ('Schlüssel := "zvxq kjwq pfgh rtzw"', "zvxq kjwq pfgh rtzw"),
+])
+def test_contexts_in_four_languages_and_quoted_values(spark, text, value):
+    df = spark.createDataFrame([(1, text)], SHORT)
+    row = secrets_scan.scan(df).first()
+    at = text.index(value)
+    assert f"guess:{at}:{at + len(value)}" in row["spans"]
+    assert value not in secrets_scan.redacted(df).first()["text"]
+
+
+def test_one_value_many_times_and_clashing_columns(spark):
+    rows = [(i, "password is x9Kq2vLm8Rt4", "v", 1, "s") for i in range(300)] + [(None, "clean text", None, None, None)]
+    df = spark.createDataFrame(rows, SHORT + ", value string, key int, __secrets string")
+    out = secrets_scan.redacted(df.drop("__secrets"))
+    assert out.columns == ["doc_id", "text", "value", "key"] and out.where("text = 'password is [SECRET]'").count() == 300 and out.count() == 301
+    assert secrets_scan.scan(df).where("n_guess = 1").count() == 300
