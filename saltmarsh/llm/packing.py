@@ -3,8 +3,8 @@
 A document becomes the ids of its text and one end id.  A longer document than a sequence is cut from
 its end into full pieces, so that only piece 0 may be shorter.  How many pieces have each length is a
 table of at most ``capacity`` counts; the plan is made from that alone: for the longest length left, an
-index of single lengths, pair sums and triple sums gives lengths that fill the gap exactly, and that
-combination is used as often as the counts allow; where no sum fits, the gap is filled best-fit.  A plan
+index of the sums of pairs of lengths, filled once and thinned as lengths are used up, gives one, two or three lengths that fill the
+gap exactly, and that combination is used as often as the counts allow; where no sum fits, the gap is filled best-fit.  A plan
 is a list of (lengths of a sequence, how often).  The pieces of each length are then numbered by Spark in
 small salted groups, and a piece's number and length say its sequence and its place in it.
 
@@ -125,43 +125,67 @@ def piece_rows(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int) ->
             )
 
 
-def exact_fill(gap: int, left: np.ndarray) -> list[int] | None:
-    """Up to three lengths that sum to ``gap`` and are left, the fewest and then the longest first."""
-    if left[gap] > 0:
-        return [gap]
+class SumIndex:
+    """Lengths by the sums that one, two or three of them make, under availability counts.
 
-    def pair(total: int, most: int, used: dict[int, int]) -> list[int] | None:
-        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        if not len(a):
+    ``pairs`` holds for each sum the longer members of all pairs of lengths that were there when the index was filled, the longest
+    first.  A pair is dropped from it once either length is used up for good (``gone``); one that is only short for the
+    moment (``left``) is passed over.  A sum of three is one length and the pair index at what it leaves.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.left, self.gone = counts.copy(), counts == 0
+        have = np.flatnonzero(counts)
+        longer, shorter = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        keep = (longer >= shorter) & (longer + shorter < len(counts))
+        longer, sums = longer[keep].astype(np.int32), (longer + shorter)[keep]
+        order = np.lexsort((-longer, sums))
+        cuts = np.searchsorted(sums[order], np.arange(len(counts) + 1))
+        self.pairs = [longer[order[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def use(self, lengths: np.ndarray, times: np.ndarray) -> None:
+        """Takes lengths for good."""
+        self.left[lengths] -= times
+        self.gone[lengths] = self.left[lengths] == 0
+
+    def pair(self, total: int, most: int, other: int = 0) -> list[int] | None:
+        """The pair of this sum with the longest member up to ``most``, beside one more length ``other`` that is taken already."""
+        longer = self.pairs[total]
+        if len(longer) and (self.gone[longer].any() or self.gone[total - longer].any()):
+            longer = self.pairs[total] = longer[~self.gone[longer] & ~self.gone[total - longer]]
+        longer = longer[np.searchsorted(-longer, -most) :]
+        if not len(longer):
             return None
-        have = left
-        if used:
-            have = left.copy()
-            for length, times in used.items():
-                have[length] -= times
-        b = total - a
-        fits = np.flatnonzero((have[a] > 0) & (have[b] > 0) & ((a != b) | (have[a] > 1)))
-        return [int(a[fits[0]]), int(b[fits[0]])] if len(fits) else None
+        shorter = total - longer
+        spare_a, spare_b = (self.left[x] - (x == other) for x in (longer, shorter))
+        fits = np.flatnonzero((spare_a > 0) & (spare_b > 0) & ((longer != shorter) | (spare_a > 1)))
+        return [int(longer[fits[0]]), int(shorter[fits[0]])] if len(fits) else None
 
-    if two := pair(gap, gap - 1, {}):
-        return two
-    for first in np.flatnonzero(left[: max(gap - 1, 0)])[::-1].tolist():
-        if 3 * first < gap:
-            break
-        if rest := pair(gap - first, first, {first: 1}):
-            return [first, *rest]
-    return None
+    def fill(self, gap: int) -> list[int] | None:
+        """Up to three lengths that sum to ``gap`` and are left, the fewest and then the longest first."""
+        if self.left[gap] > 0:
+            return [gap]
+        if two := self.pair(gap, gap):
+            return two
+        for first in np.flatnonzero(self.left[: max(gap - 1, 0)] > 0)[::-1].tolist():
+            if 3 * first < gap:
+                break
+            if rest := self.pair(gap - first, first, first):
+                return [first, *rest]
+        return None
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, number of such sequences), using up all counts of lengths up to capacity."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    every = np.zeros(capacity + 1, dtype=np.int64)
     for length, count in counts.items():
-        left[length] += count
+        every[length] += count
     plan: list[tuple[list[int], int]] = []
-    if left[capacity]:
-        plan.append(([capacity], int(left[capacity])))
-        left[capacity] = 0
+    if every[capacity]:
+        plan.append(([capacity], int(every[capacity])))
+        every[capacity] = 0
+    index = SumIndex(every)
+    left = index.left
     longest = capacity - 1
     while True:
         while longest and not left[longest]:
@@ -170,28 +194,23 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
             return plan
         pattern, gap = [longest], capacity - longest
         left[longest] -= 1
-        if fill := exact_fill(gap, left):
-            pattern += fill
-        else:  # best fit: the longest that goes in, then exact again for the rest
-            while gap > 0:
-                fitting = np.flatnonzero(left[: gap + 1])
+        while gap > 0:
+            if fill := index.fill(gap):
+                added, gap = fill, 0
+            else:  # best fit: the longest that goes in, then exact again for the rest
+                fitting = np.flatnonzero(left[: gap + 1] > 0)
                 if not len(fitting):
                     break
-                length = int(fitting[-1])
-                pattern.append(length)
-                left[length] -= 1
-                gap -= length
-                if gap and (fill := exact_fill(gap, left)):
-                    pattern += fill
-                    for x in fill:
-                        left[x] -= 1
-                    gap = 0
-            for x in pattern[1:]:
-                left[x] += 1
-        left[longest] += 1
+                added = [int(fitting[-1])]
+                gap -= added[0]
+            pattern += added
+            for x in added:
+                left[x] -= 1
+        for x in pattern:
+            left[x] += 1
         lengths, times = np.unique(pattern, return_counts=True)
         often = int((left[lengths] // times).min())
-        left[lengths] -= often * times
+        index.use(lengths, often * times)
         plan.append((pattern, often))
 
 
