@@ -1,6 +1,6 @@
 """Personal data replaced by surrogates.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers, IBANs, US social security
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card numbers, IBANs, US social security
 numbers, and names.  A name is a row of capitalised words after a title, after words that introduce or sign
 a person, in a greeting, before "wrote", right before an address or number, or a known given name before
 a capitalised word; the words so found count wherever they stand alone in the same text, in capitals too.
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -79,8 +80,8 @@ NOT_NAMES = frozenset("sir madam all customer team colleague colleagues world fr
 WROTE = r"(?:wrote|writes|schrieb|schreibt|escribió|escribe|écrivit|écrit|написала?)"
 
 GIVEN = {name.casefold(): key[0] for key, names in NAMES.items() if key[0] != "s" for name in names}
-WORD = r"\p{Lu}\p{Ll}+(?:['’-]\p{Lu}\p{Ll}+)?"
-CAPITALS = r"\p{Lu}{2,}(?:-\p{Lu}{2,})?"
+WORD = r"(?:\p{Lu}\p{Ll}+(?:['’-]\p{Lu}\p{Ll}+)?|\p{Lu}['’]\p{Lu}\p{Ll}+)"
+CAPITALS = r"(?:\p{Lu}{2,}(?:-\p{Lu}{2,})?|\p{Lu}['’]\p{Lu}{2,})"
 PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|la|le|bin|al)\x20){0,3}"
 SEVERAL = rf"{WORD}(?:\x20{PARTICLES}{WORD}){{1,2}}"
 SOME = rf"{WORD}(?:\x20{PARTICLES}{WORD}){{0,2}}"
@@ -88,9 +89,12 @@ FIRST = "|".join(sorted({name for key, names in NAMES.items() if key[0] != "s" f
 FIRST_CAPITALS = FIRST.upper()
 ADDRESS = r",?\x20?[(<\[]?(?:[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9]|\+\d)"
 
+HEX = "[0-9A-Fa-f]{1,4}"
+
 PATTERNS = (
     ("email", regex.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")),
     ("iban", regex.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", regex.ASCII)),
+    ("ip6", regex.compile(rf"(?<![\w:.])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}(?::{HEX}){{0,5}})?)(?![\w:])", regex.ASCII)),
     ("ip", regex.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)", regex.ASCII)),
     ("card", regex.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}[\x20-]\d{4}[\x20-]\d{4}[\x20-]\d{1,7}|\d{4}[\x20-]\d{6}[\x20-]\d{5})(?![\w-])", regex.ASCII)),
     ("ssn", regex.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", regex.ASCII)),
@@ -111,11 +115,14 @@ NAME_PATTERNS = tuple(
 )
 #: Texts without a match of this have no mention.
 MAYBE = (
-    rf"@[A-Za-z0-9]|\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d|\d{{13}}|\d{{3,4}}[ -]\d{{2,6}}[ -]\d|\+\d|\(\d{{2,4}}\)|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|[A-Z]{{2}}\d\d[ A-Z0-9]"
+    rf"@[A-Za-z0-9]|:[0-9A-Fa-f]{{0,4}}:|\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d|\d{{13}}|\d{{3,4}}[ -]\d{{2,6}}[ -]\d|\+\d|\(\d{{2,4}}\)|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|[A-Z]{{2}}\d\d[ A-Z0-9]"
     rf"|{TITLE}\.? |(?:{FIRST}|{FIRST_CAPITALS}) |{INTRO}\s|{GREETING} \p{{Lu}}|\p{{Ll}} {WROTE}"
 )
 
 
+WORDS = regex.compile(r"\w+")
+
+
 class Mention(NamedTuple):
     """``role``: f, m or u (not known) of a given name, s of a surname, empty for other kinds and for names found again."""
 
@@ -146,9 +153,21 @@ def canonical(kind: str, value: str) -> str | None:
     if kind == "iban":
         value = value.replace(" ", "")
         return value if 15 <= len(value) <= 34 and iban_holds(value) else None
+    if kind == "ip6":
+        return ip6(value)
     return value.lower() if kind == "email" else value
 
 
+def ip6(value: str) -> str | None:
+    """The short form of an IPv6 address; None for what is none, or has too few digits to be told from other text with colons."""
+    if sum(c != ":" for c in value) < 5 or not any(c.isdigit() for c in value):
+        return None
+    try:
+        return ipaddress.IPv6Address(value).compressed
+    except ValueError:
+        return None
+
+
 def mentions(text: str) -> list[Mention]:
     """The mentions in a text, in order and apart from each other."""
     found: list[Mention] = []
@@ -172,14 +191,27 @@ def mentions(text: str) -> list[Mention]:
                 take(parts, a, b)
                 names.update((x.value, x.kind) for x in parts)
     if names:  # the same names again, alone
-        again = "|".join(regex.escape(x) for value in sorted(names) for x in sorted({value.title(), value.upper()}))
-        for m in regex.finditer(rf"(?<!\w)(?:{again})(?!\w)", text):
-            a, b = m.span()
-            if taken.find(1, a, b) < 0 and m[0].casefold() in names:
-                take([Mention(a, b, names[m[0].casefold()], m[0].casefold())], a, b)
+        for a, b in words_at(text):
+            value = names.get(folded := text[a:b].casefold()) and folded
+            if value and taken.find(1, a, b) < 0 and text[a:b] in (value.title(), value.upper()):
+                take([Mention(a, b, names[value], value)], a, b)
     return sorted(found)
 
 
+def words_at(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every two words that a hyphen or an apostrophe joins, and of every word, the longer first."""
+    before = None
+    for m in WORDS.finditer(text):
+        a, b = m.span()
+        if before and a == before[1] + 1 and text[before[1]] in "'’-":
+            yield before[0], b
+        if before:
+            yield before
+        before = a, b
+    if before:
+        yield before
+
+
 def name_parts(name: str, at: int, title: str) -> list[Mention]:
     """The capitalised words of a name that starts at ``at``, up to one that can't be in a name."""
     words = [m for m in regex.finditer(r"\S+", name) if m[0][0].isupper()]
@@ -247,6 +279,9 @@ def surrogate(kind: str, value: str, role: str, attempt: int, key: bytes) -> str
         if keep and attempt < 8:
             return ".".join(map(str, octets[:keep] + [1 + draw.below(254) for _ in range(4 - keep)]))
         return ".".join(map(str, [11 + draw.below(90), *(1 + draw.below(254) for _ in range(3))]))
+    if kind == "ip6":
+        digit = lambda c, first: c if c == ":" else f"{1 + draw.below(15):x}" if first else f"{draw.below(16):x}"
+        return "".join(digit(c, not i or value[i - 1] == ":") for i, c in enumerate(value)) + (f":{1 + draw.below(65535):x}" if attempt > 7 and value.endswith("::") else "")
     if kind == "card":
         body = value[0] + draw.like("1" + value[1:])[1:]
         if not luhn(value):
@@ -273,6 +308,8 @@ def dressed(mention: str, value: str, kind: str) -> str:
         return "".join(next(rest, "") if c.isalnum() else c for c in mention)
     if kind == "ip":
         return value
+    if kind == "ip6":
+        return value.upper() if mention.isupper() else value
     if kind == "email":
         if mention.isupper():
             return value.upper()
