@@ -56,3 +56,8 @@ def mean_of(*terms: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
     some = F.filter(F.array(*terms), lambda x: x.isNotNull())
     return F.aggregate(some, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")), lambda acc: F.try_divide(acc["s"], acc["n"]))
+
+
+def contribution(stored: Column, zscore: Column, weight: Column) -> Column:
+    """What a component adds to the score: as stored, else z-score times weight, else 0."""
+    return F.coalesce(stored, zscore * weight, F.lit(0.0))

@@ -181,6 +181,10 @@ def alignment_label(score: Column) -> Column:
     return F.when(score >= 65, "BULLISH").when(score >= 55, "MILD TAILWIND").when(score >= 45, "NEUTRAL").when(score >= 33, "MILD HEADWIND").otherwise("BEARISH")
 
 
+def alignment_colour(score: Column) -> Column:
+    return F.when(score >= 65, "#16a34a").when(score >= 55, "#22c55e").when(score >= 45, "#6b7280").when(score >= 33, "#d97706").otherwise("#ef4444")
+
+
 def trades(dist: DataFrame, confluence: DataFrame, degrade: Column) -> DataFrame:
     """Trades of the assets with a view: direction by ``confluence`` (-6 to 6, 0: none), size by history.
 

@@ -10,7 +10,7 @@ from ..sources import tables
 from .base_sql import DAY, LINE, SER, r, with_
 from .model_queries import role_sql, roles
 from .series_queries import day, query, six
-from .state_queries import ALL, BASE, ORACLE, QUERIES, all_series
+from .state_queries import ALL, BASE, ORACLE, QUERIES, current_all
 
 # Rows of a range, and names of series that other pages use.
 RANGES = {"1m": 21, "3m": 63, "6m": 126, "1y": 252, "2y": 504, "5y": 1260}
@@ -156,7 +156,7 @@ MARKET = ("SPY", "QQQ", "IWM", "XLE", "XLF", "GLD", "HYG", "TLT")
 )
 def curve_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns of a month and a quarter of what should move with the curve."""
-    stats = rules.current(all_series(spark, sf_dir)).where(F.col("series").isin(*(t for t, _ in CROSS)))
+    stats = current_all(spark, sf_dir).where(F.col("series").isin(*(t for t, _ in CROSS)))
     m1 = F.col("c21") * 100
     status = F.coalesce(*(F.when(F.col("series") == t, rules.confirmation(m1, up)) for t, up in CROSS))
     return stats.select("series", six(m1, "m1", 4), six(F.col("c63") * 100, "m3", 4), status.alias("status"))
@@ -168,7 +168,7 @@ def curve_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def market_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns of five rows and of a week in percent, the best week first; a fixed list of names."""
-    stats = rules.current(all_series(spark, sf_dir)).where(F.col("series").isin(*MARKET)).select("series", six(F.col("r5") * 100, "r5", 2), six(F.col("c7") * 100, "week", 2))
+    stats = current_all(spark, sf_dir).where(F.col("series").isin(*MARKET)).select("series", six(F.col("r5") * 100, "r5", 2), six(F.col("c7") * 100, "week", 2))
     return stats.withColumn("place", F.row_number().over(Window.orderBy(F.desc("week"), "series")))
 
 
@@ -178,7 +178,7 @@ def market_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def strength_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns over those of the index by calendar days, the best month first, with three leaders and three laggards."""
-    stats = rules.current(all_series(spark, sf_dir)).where(F.col("series").isin(*MARKET))
+    stats = current_all(spark, sf_dir).where(F.col("series").isin(*MARKET))
     base = stats.where("series = 'SPY'").select(F.col("c7").alias("b7"), F.col("c21").alias("b21"), F.col("c63").alias("b63"))
     rows = stats.where("series <> 'SPY'").join(F.broadcast(base)).select("series", *(six(F.col(f"c{k}") - F.col(f"b{k}"), n) for n, k in (("w", 7), ("m", 21), ("q", 63))))
     best, worst = (F.row_number().over(Window.orderBy(o, "series")) for o in (F.desc("m"), F.asc("m")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LABELS, clip, momentum
 from ..operators import points, rules, windows
 from ..sources import tables
+from ..sources.once import once
 from . import regime
 from .base_sql import DAY, FRIDAY, LINE, SER, WEEK, r, with_
 from .series_queries import ORACLE, QUERIES, day, query, six
@@ -32,11 +35,24 @@ ROLES = (
 )
 
 
+def _digest(which: tuple) -> str:
+    return hashlib.sha256(repr(which).encode()).hexdigest()[:12]
+
+
 def roles(spark: SparkSession, sf_dir: str, which: tuple = ROLES) -> DataFrame:
-    """Daily values by role, kept by Spark once computed: a plan reads them in a dozen places, and they are days x roles, not facts."""
+    """Daily values by role, written once: a plan reads them in a dozen places, and they are days x roles, not facts."""
+    return once(spark, sf_dir, f"roles-{_digest(which)}", lambda: daily_roles(spark, sf_dir, which))
+
+
+def daily_roles(spark: SparkSession, sf_dir: str, which: tuple) -> DataFrame:
     both = tables.orders(spark, sf_dir).withColumn("src", F.lit("orders")).unionByName(tables.lines(spark, sf_dir).withColumn("src", F.lit("line")))
     names = spark.createDataFrame(which, "role string, src string, series string, factor double, offset double")
-    return both.join(F.broadcast(names), ["src", "series"]).select(F.col("role").alias("series"), "d", (F.col("v") * F.col("factor") + F.col("offset")).alias("v")).persist()
+    return both.join(F.broadcast(names), ["src", "series"]).select(F.col("role").alias("series"), "d", (F.col("v") * F.col("factor") + F.col("offset")).alias("v"))
+
+
+def score_history(spark: SparkSession, sf_dir: str, which: tuple = ROLES) -> DataFrame:
+    """The regime of every Friday, written once."""
+    return once(spark, sf_dir, f"history-{_digest(which)}", lambda: regime.history(roles(spark, sf_dir, which)))
 
 
 def weekly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +131,20 @@ def spearman_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.spearman(weekly_pairs(spark, sf_dir)).select("a", "b", six("rho", "rho"), "n")
 
 
-@query(with_(SER, *PAIRS, "rn as (select *, row_number() over (partition by a, b order by d desc) as rn from pr)") + f"select a, b, {r('corr(x, y)')} as corr, {r('corr(x, y) filter (where rn <= 63)')} as recent, count(*) as n from rn group by 1, 2")
+@query(
+    with_(
+        SER, "cm as (select a.series as a, b.series as b, a.d, a.v as x, b.v as y from ser a join ser b on a.d = b.d and a.series < b.series)",
+        "dr as (select a, b, d, x / lag(x) over w - 1 as x, y / lag(y) over w - 1 as y, count(*) over (partition by a, b) as n from cm window w as (partition by a, b order by d))",
+        "rn as (select *, row_number() over (partition by a, b order by d desc) as rn from dr where x is not null and n >= 73)",
+    )
+    + f"select a, b, {r('corr(x, y)')} as corr, {r('corr(x, y) filter (where rn <= 63)')} as recent, count(*) as n from rn group by 1, 2"
+)
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of weekly changes, of all weeks and of the last 63."""
-    rows = weekly_pairs(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("d"))))
+    """Correlation of the changes from one common date to the next, of all and of the last 63, for pairs of 73 common dates or more."""
+    own = Window.partitionBy("a", "b")
+    both = points.pairs(tables.orders(spark, sf_dir)).withColumn("n", F.count(F.lit(1)).over(own)).where("n >= 73").drop("n")
+    changes = both.select("a", "b", "d", *((F.try_divide(c, F.lag(c).over(own.orderBy("d"))) - 1).alias(c) for c in ("x", "y"))).where("x is not null and y is not null")
+    rows = changes.withColumn("rn", F.row_number().over(own.orderBy(F.desc("d"))))
     late = F.col("rn") <= 63
     return rows.groupBy("a", "b").agg(six(F.corr("x", "y"), "corr"), six(F.corr(F.when(late, F.col("x")), F.when(late, F.col("y"))), "recent"), F.count(F.lit(1)).alias("n"))
 
@@ -274,7 +300,7 @@ LABEL_SQL = "case when score >= 75 then 'Risk On' when score >= 60 then 'Bullish
 
 @query(with_(*HISTORY_SQL) + f"select {DAY}, " + ", ".join(f"{r(p)} as {p}" for p in regime.WEIGHTS) + f", {r('score_raw', 4)} as score_raw, score, {LABEL_SQL} as label from sc")
 def regime_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = regime.history(roles(spark, sf_dir))
+    got = score_history(spark, sf_dir)
     return got.select(day(), *(six(p, p) for p in regime.WEIGHTS), six("score_raw", "score_raw", 4), "score", "label")
 
 
@@ -282,7 +308,7 @@ def regime_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regime_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change over 21 days and the points to the next label either way; one row a week, so one ordered task."""
     score = F.col("score")
-    rows = regime.history(roles(spark, sf_dir)).select("d", "score").withColumn("one", F.lit(1)).withColumn("day", F.datediff("d", F.lit("1970-01-01")))
+    rows = score_history(spark, sf_dir).select("d", "score").withColumn("one", F.lit(1)).withColumn("day", F.datediff("d", F.lit("1970-01-01")))
     was = F.last("score").over(Window.partitionBy("one").orderBy("day").rangeBetween(Window.unboundedPreceding, -21))
     above = F.when(score >= 75, None).when(score >= 60, 75).when(score >= 40, 60).when(score >= 25, 40).otherwise(25)
     below = F.when(score >= 75, 75).when(score >= 60, 60).when(score >= 40, 40).when(score >= 25, 25)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
-from ..operators import joins, rules, windows
+from ..operators import joins, points, rules, windows
 from .base_sql import DAY, LINE, SER, r, with_
 from .model_queries import PAIRS, PENALTY, ROLES, SPEAR, TAU, penalties, role_sql, roles, weekly_pairs
 from .series_queries import ORACLE, QUERIES, day, query, six
@@ -156,11 +156,14 @@ def fed_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(*EVERY, *STAT, f"x as (select {_of('init_claims', 'v')} as v, {_of('init_claims', 'z')} as z, {_of('init_claims', 'd28')} as d28, {_of('cont_claims', 'pct')} as pct from cur)", "p as (select unnest([greatest(0, least(1, (z + 2.5) / 5)), greatest(0, least(1, 0.5 + d28 / greatest(v, 1) * 25)), pct / 100, greatest(0, least(1, (v - 180000) / 170000))]) as s, unnest([0.40, 0.25, 0.20, 0.15]) as w from x)")
+    with_(*EVERY, *STAT, f"x as (select {_of('init_claims', 'v')} as v, {_of('init_claims', 'z')} as z, {_of('init_claims', 'd28')} as d28, (select round(avg(case when v < last then 1.0 else 0.0 end) * 100, 1) from num where series = 'cont_claims' and rn <= 252) as pct from cur)", "p as (select unnest([greatest(0, least(1, (z + 2.5) / 5)), greatest(0, least(1, 0.5 + d28 / greatest(v, 1) * 25)), pct / 100, greatest(0, least(1, (v - 180000) / 170000))]) as s, unnest([0.40, 0.25, 0.20, 0.15]) as w from x)")
     + f"select {r('sum(s * w) / sum(w) * 100', 4)} as score from p where s is not null"
 )
 def labour_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = rules.one_row(stats(spark, sf_dir), v=("init_claims", "v"), z=("init_claims", "z"), d28=("init_claims", "d28"), pct=("cont_claims", "pct"))
+    row = rules.one_row(stats(spark, sf_dir), v=("init_claims", "v"), z=("init_claims", "z"), d28=("init_claims", "d28"))
+    # Among as many rows as there are, 252 at most.
+    rank = points.tail_rank(every(spark, sf_dir).where("series = 'cont_claims'"), 252, least=1)
+    row = row.join(F.broadcast(rank.agg(F.max(F.round("pct", 1)).alias("pct"))))  # one row each
     v = F.col("v")
     parts = {
         "level of claims among a year": (clip((F.col("z") + 2.5) / 5, 0, 1), 0.40),

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import momentum
 from ..operators import points, rules, windows
+from ..sources.once import once
 from . import regime
 from .base_sql import LINE, SER, r, with_
-from .model_queries import HISTORY_SQL, LABEL_SQL, NAMES, SNAPSHOT_SQL
+from .model_queries import HISTORY_SQL, LABEL_SQL, NAMES, SNAPSHOT_SQL, score_history
 from .rule_queries import MORE, ORACLE, QUERIES, SPREADS, STAT, every, role_sql, roles
 from .series_queries import query, six
 
@@ -62,10 +63,20 @@ STATE_SQL = "st as (select " + ", ".join(f"max({c}) filter (where series = '{s}'
 STATE_BASE = (*BASE, *REGIME, STATE_SQL)
 
 
+def current_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest statistics of all series, written once."""
+    return once(spark, sf_dir, "current", lambda: rules.current(all_series(spark, sf_dir)))
+
+
+def snapshot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regime 'now' and 'before', written once."""
+    return once(spark, sf_dir, "snapshot", lambda: regime.snapshot(roles(spark, sf_dir, ALL)))
+
+
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the state, with the score now and 21 days before."""
-    row = rules.one_row(rules.current(all_series(spark, sf_dir)), **STATE)
-    scores = regime.snapshot(roles(spark, sf_dir, ALL)).agg(F.max(F.when(F.col("d") == "now", F.col("score"))).alias("score"), F.max(F.when(F.col("d") == "before", F.col("score"))).alias("score_before"))
+    row = rules.one_row(current_all(spark, sf_dir), **STATE)
+    scores = snapshot_all(spark, sf_dir).agg(F.max(F.when(F.col("d") == "now", F.col("score"))).alias("score"), F.max(F.when(F.col("d") == "before", F.col("score"))).alias("score_before"))
     return row.join(F.broadcast(scores))  # one row by one row
 
 
@@ -117,7 +128,7 @@ _COLOUR = "case when {0} >= 75 then '#1f7a4f' when {0} >= 60 then '#16a34a' when
 )
 def regime_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regime now: score, change over 21 days, confidence, summary, stances, mix and favoured groups."""
-    both = regime.result(regime.readings(regime.snapshot(roles(spark, sf_dir, ALL))))
+    both = regime.result(regime.readings(snapshot_all(spark, sf_dir)))
     prev = both.where("d = 'before'").agg(F.max("score").alias("score_prev"))
     row = both.where("d = 'now'").join(F.broadcast(prev))
     delta = F.col("score") - F.col("score_prev")
@@ -141,7 +152,7 @@ _WHAT = ("key", "name", "weight", "contribution", "level", "zscore")
 )
 def regime_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pillars and older components, by the size of what they contribute; a fixed dozen of rows."""
-    parts = regime.components(regime.readings(regime.snapshot(roles(spark, sf_dir, ALL)).where("d = 'now'")))
+    parts = regime.components(regime.readings(snapshot_all(spark, sf_dir).where("d = 'now'")))
     score = F.when(F.col("weight") > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("contribution") / F.col("weight") + 1) * 50)))).otherwise(50).cast("long")
     push = F.col("zscore") * F.col("weight")
     status = F.when(push > 0.05, "Supportive").when(push < -0.05, "Drag").otherwise("Neutral")
@@ -155,7 +166,7 @@ def regime_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope of the last eight weekly scores; with fewer than four, their change."""
-    rows = regime.history(roles(spark, sf_dir)).orderBy(F.desc("d")).limit(8).withColumn("rn", F.datediff("d", F.lit("1970-01-01")))
+    rows = score_history(spark, sf_dir).orderBy(F.desc("d")).limit(8).withColumn("rn", F.datediff("d", F.lit("1970-01-01")))
     rows = rows.withColumn("x", -F.row_number().over(Window.orderBy(F.desc("rn")))).select("x", F.col("score").alias("y"))
     slope = F.when(F.count(F.lit(1)) >= 4, F.regr_slope("y", "x")).otherwise(F.coalesce(F.max_by("y", "x") - F.min_by("y", "x"), F.lit(0)))
     got = rows.agg(F.count(F.lit(1)).alias("n"), slope.alias("s"))
@@ -207,6 +218,18 @@ def factor_scores():
     """Factor tilts, the strongest first."""
 
 
+# The pairs of funds by which the brief trades a factor. It has the first five factors alone.
+FACTOR_FUNDS = ("XLE+XLF vs QQQ+IGV", "XLP+XLV vs IWM+XBI", "IWM vs SPY", "XLE+XLI vs XLP+XLV", "GLD+XLE vs TLT+HYG")
+
+
+@board(
+    [(str(i), f"'{n}'", f"greatest(-3, least(3, {x}))", *(f"case when {x} > 0 then '{p}' else '{q}' end" for p, q in (n.split(" vs "), n.split(" vs ")[::-1])), f"'{funds}'") for i, ((n, _, _, x), funds) in enumerate(zip(FACTORS, FACTOR_FUNDS))],
+    ("nth", "factor", "score", "winner", "loser", "funds"), digits=("score",), order="round(abs(score), 6) desc, nth",
+)
+def brief_factors():
+    """The five factors of the brief with the side that leads and the funds that stand for it."""
+
+
 #: Gaps (name, gap, least): of the brief only where neither z-score is 0.
 GAPS = [
     ("VIX vs HY OAS", "vix_z - credit_z", 1.0, ("vix_z", "credit_z")), ("Curve vs IWM/SPY", "curve_z - small_z", 1.2, ("curve_z", "small_z")), ("GLD vs Real rates", "gld_z + real_z", 1.2, ("gld_z", "real_z")),
@@ -238,18 +261,6 @@ def boundary_alert():
     """The nearest boundary of the labels, the lower one at a tie, and how close it is."""
 
 
-@board(
-    [
-        ("1", "'High yield spreads'", "credit_week", "case when credit_week > 0 then 'widened' else 'tightened' end", "abs(credit_week) >= 0.10"), ("2", "'Curve'", "curve_week", "case when curve_week > 0 then 'steepened' else 'flattened' end", "abs(curve_week) >= 0.10"),
-        ("3", "'Real yields'", "real_week", "case when real_week > 0 then 'rose' else 'fell' end", "abs(real_week) >= 0.10"), ("4", "'Dollar'", "dollar_week", "case when dollar_week > 0 then 'strengthened' else 'weakened' end", "abs(dollar_week) >= 0.005"),
-        ("5", "'Risk appetite'", "small_week", "case when small_week > 0 then 'improved' else 'deteriorated' end", "abs(small_week) >= 0.005"),
-    ],
-    ("rule", "what", "change", "word", "holds"), kept="holds", digits=("change",), order="rule", most=6,
-)
-def what_changed():
-    """What moved enough this week, in the order of the rules, six at most."""
-
-
 @board(
     [
         ("'credit'", "case when score >= 50 then round(credit + 0.5, 2) else round(credit - 0.3, 2) end", "case when score >= 50 then 'widens' else 'tightens' end"), ("'real'", "case when score <= 50 then 1.5 else 2.0 end + 0 * real", "case when score <= 50 then 'falls below' else 'rises above' end"),
@@ -382,7 +393,7 @@ CONFLUENCE_SQL = (
 
 
 def confluences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = rules.current(all_series(spark, sf_dir)).where(F.col("series").isin(*HELD)).select("series", "v", "a63", "rz", "zr")
+    assets = current_all(spark, sf_dir).where(F.col("series").isin(*HELD)).select("series", "v", "a63", "rz", "zr")
     met = assets.join(F.broadcast(state(spark, sf_dir)))  # one row of state
     got = met.select("series", *(F.expr(x).alias(n) for n, x in CONFLUENCE.items()))
     return got.withColumn("confluence", F.expr(" + ".join(CONFLUENCE)))
@@ -412,7 +423,7 @@ def labelled_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, label, fwd): four-week returns of the assets from every Friday under the regime's label of that Friday."""
     rows = roles(spark, sf_dir, ALL)
     weeks = points.weekly(rows.where(F.col("series").isin(*HELD))).withColumn("fwd", windows.forward_return(F.col("v")))
-    labels = regime.history(rows).select("d", "label")  # a row a week
+    labels = score_history(spark, sf_dir, ALL).select("d", "label")  # a row a week
     return weeks.join(labels, "d").select("series", "label", "d", "fwd")
 
 
@@ -447,8 +458,8 @@ RENAMED_HISTORY = tuple(re.sub(rf"\b({'|'.join(_TABLES)})\b(?= as \(|\.|$| |,|\)
 def trade_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades under the current label by confluence and history: the six best long ones and the four best short ones."""
     rows = labelled_returns(spark, sf_dir)
-    history = regime.history(roles(spark, sf_dir, ALL)).select("d", "label")
-    now = regime.snapshot(roles(spark, sf_dir, ALL)).where("d = 'now'").select("label")
+    history = score_history(spark, sf_dir, ALL).select("d", "label")
+    now = snapshot_all(spark, sf_dir).where("d = 'now'").select("label")
     dist = points.distribution(rows, ["series", "label"]).join(F.broadcast(now), "label").drop("label")
     worse = degrade(history, now)
     got = rules.trades(dist.join(F.broadcast(worse)), confluences(spark, sf_dir).select("series", "confluence"), F.col("degrade"))
@@ -467,7 +478,7 @@ _API, _SAFE = ", ".join(map(repr, API_ASSETS)), "'TLT', 'GLD', 'SLV', 'XLU'"
 )
 def asset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of the assets with the regime's score, credit, real yields and their own long mean."""
-    assets = rules.current(all_series(spark, sf_dir)).where(F.col("series").isin(*API_ASSETS)).select("series", "v", "m200")
+    assets = current_all(spark, sf_dir).where(F.col("series").isin(*API_ASSETS)).select("series", "v", "m200")
     got = rules.alignment(assets, state(spark, sf_dir).select("score", "credit_z", "real"), ("TLT", "GLD", "SLV", "XLU"))
     return got.withColumn("label", rules.alignment_label(F.col("score")))
 

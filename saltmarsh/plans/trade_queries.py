@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import points, rules
-from . import regime
+from ..operators import points
 from .base_sql import r, with_
-from .model_queries import LABEL_SQL
+from .model_queries import LABEL_SQL, score_history
 from .rule_queries import roles
 from .series_queries import day, query, six
-from .state_queries import ALL, FORWARD, HISTORY_ALL, ORACLE, QUERIES, RENAMED_HISTORY, STATE_BASE, all_series, labelled_returns, state
+from .state_queries import ALL, FORWARD, HISTORY_ALL, ORACLE, QUERIES, RENAMED_HISTORY, STATE_BASE, current_all, labelled_returns, snapshot_all, state
 
 # The trades that compete, in the order that settles ties.
 CANDIDATES = (
@@ -87,8 +86,8 @@ def candidates(assets: DataFrame, row: DataFrame, win_rates: DataFrame) -> DataF
 )
 def dominant_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate trades that two dimensions or more confirm, by conviction, share and strength; place 1 is the dominant one."""
-    assets = rules.current(all_series(spark, sf_dir).where(f"series in ({_TRADED})")).select("series", "v", "a63", "rz")
-    now = regime.snapshot(roles(spark, sf_dir, ALL)).where("d = 'now'").select("label")
+    assets = current_all(spark, sf_dir).where(f"series in ({_TRADED})").select("series", "v", "a63", "rz")
+    now = snapshot_all(spark, sf_dir).where("d = 'now'").select("label")
     rates = points.distribution(labelled_returns(spark, sf_dir), ["series", "label"]).join(F.broadcast(now), "label").select("series", "win_rate")
     got = candidates(assets, state(spark, sf_dir), rates).where("n_confirm >= 2").withColumn("points", F.expr(_POINTS)).withColumn("kelly", F.expr(_SHARE))
     place = F.row_number().over(Window.orderBy(F.desc(F.round("points", 9)), "nth"))
@@ -102,17 +101,17 @@ INSTRUMENTS = {
 }
 _BOUGHT = "case " + " ".join(f"when name = '{n}' then case when contribution > 0 then '{up}' else '{down}' end" for n, (up, down) in INSTRUMENTS.items()) + " else name end"
 _FROM_PARTS = ("name as signal", "case when contribution > 0 then 'bullish' else 'bearish' end as direction", f"{_BOUGHT} as instrument", "zscore as z", "contribution")
-_FROM_FACTOR = ("concat('Factor: ', factor) as signal", "case when score > 0 then 'long' else 'short' end as direction", "direction as instrument", "score as z", "score as contribution")
+_FROM_FACTOR = ("concat('Factor: ', factor) as signal", "case when score > 0 then 'long' else 'short' end as direction", "funds as instrument", "score as z", "score as contribution")
 _PART_KEPT, _FACTOR_KEPT = "place <= 3 and abs(zscore) >= 0.3", "place = 1 and abs(score) >= 0.5"
 
 
 @query(
-    f"select *, row_number() over (order by abs(contribution) desc, signal) as place from (select {', '.join(_FROM_PARTS)} from ({ORACLE['regime_components']}) where {_PART_KEPT} union all select {', '.join(_FROM_FACTOR)} from ({ORACLE['factor_scores']}) where {_FACTOR_KEPT}) qualify place <= 3"
+    f"select *, row_number() over (order by abs(contribution) desc, signal) as place from (select {', '.join(_FROM_PARTS)} from ({ORACLE['regime_components']}) where {_PART_KEPT} union all select {', '.join(_FROM_FACTOR)} from ({ORACLE['brief_factors']}) where {_FACTOR_KEPT}) qualify place <= 3"
 )
 def top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three strongest of the components that push the score and the leading factor."""
     parts = QUERIES["regime_components"](spark, sf_dir).where(_PART_KEPT).selectExpr(*_FROM_PARTS)
-    factor = QUERIES["factor_scores"](spark, sf_dir).where(_FACTOR_KEPT).selectExpr(*_FROM_FACTOR)
+    factor = QUERIES["brief_factors"](spark, sf_dir).where(_FACTOR_KEPT).selectExpr(*_FROM_FACTOR)
     place = F.row_number().over(Window.orderBy(F.desc(F.abs("contribution")), "signal"))
     return parts.unionByName(factor).withColumn("place", place).where("place <= 3")
 
@@ -127,7 +126,7 @@ SPANS = {"1y": 400, "3y": 1100, "5y": 2000}
 def history_against_shares(spark: SparkSession, sf_dir: str, span: str = "3y") -> DataFrame:
     """The weekly score with its label, and weekly share prices with the first of the span as 100."""
     rows = roles(spark, sf_dir, ALL)
-    scores = regime.history(rows).select("d", "score", "label")
+    scores = score_history(spark, sf_dir, ALL).select("d", "score", "label")
     end = F.broadcast(scores.agg(F.date_sub(F.max("d"), SPANS[span]).alias("start")))  # one row
     shares = points.weekly(rows.where("series = 'SPY'")).select("d", "v").join(end).where(F.col("d") >= F.col("start"))
     shares = shares.select("d", (F.col("v") / F.first("v").over(Window.orderBy("d")) * 100).alias("x"))  # a row a week

@@ -68,6 +68,24 @@ def points(series: DataFrame) -> DataFrame:
     return series.where("v is not null").select("series", F.to_json(F.struct(F.date_format("d", "yyyy-MM-dd").alias("date"), F.round("v", 5).alias("value"))).alias("value"))
 
 
+def parsed(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """``lines`` with the JSON objects of ``column`` as fields of ``schema`` and ``broken``, the text of a row that is none.
+
+    A field that is missing, or that has a value of another kind, is null; only the latter makes a row broken.  A null line is not
+    broken and has null fields.
+    """
+    with_text = f"{schema}, broken string"
+    read = F.from_json(F.col(column), with_text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    rest = [c for c in lines.columns if c != column]
+    return lines.select(*rest, read.alias("__x")).select(*rest, "__x.*")
+
+
+def read_points(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(d, v, broken) and the other columns of JSON lines as ``points`` writes them."""
+    rest = [c for c in lines.columns if c != column]
+    return parsed(lines, column, "date date, value double").select(*rest, F.col("date").alias("d"), F.col("value").alias("v"), "broken")
+
+
 def tickers(names: Column) -> Column:
     """The names of an array that are not null or blank, each once, in order."""
     return F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (F.trim(x) != "")))

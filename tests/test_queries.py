@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from saltmarsh.plans import chart_queries, outlook_queries, trade_queries
+from saltmarsh.plans import chart_queries, market_queries, outlook_queries, portfolio_queries, text_queries, trade_queries
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 #: Only what is out of line is returned, which may be nothing; test_state.py has rows for it.
@@ -21,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list({**chart_queries.ORACLE, **trade_queries.ORACLE, **outlook_queries.ORACLE}))
+@pytest.mark.parametrize("name", list({**chart_queries.ORACLE, **trade_queries.ORACLE, **outlook_queries.ORACLE, **portfolio_queries.ORACLE, **market_queries.ORACLE, **text_queries.ORACLE}))
 def test_same_rows_as_sql(spark, duck, name):
     df = chart_queries.QUERIES[name](spark, DIR)
     names = sorted(df.columns)
