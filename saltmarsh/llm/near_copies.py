@@ -7,8 +7,8 @@ of similarity 0.8 most differ in 9 or 10 bits, where no code of this length has
 So minimum hashes of a set, ``ROWS`` to a band, give ``BANDS`` keys more; a pair of similarity 0.8 has a common
 key with probability 1 - (1 - 0.8^ROWS)^BANDS, 0.9996.  The closure of the candidates cuts the nodes into
 groups; within a group every candidate pair is compared by the sets themselves, up to a spanning forest of the
-links.  So each text is sent to its group once, not once for each key.  A group of more than ``BLOCK`` nodes is
-cut into blocks, and each two blocks meet in a group of their own.
+links.  So each text is sent to its group once, not once for each key.  A group of more than ``BLOCK`` nodes, or
+more than ``BYTES`` of sets, is cut into blocks, and each two blocks meet in a group of their own.
 
 A row is known by a hash of all its columns, nulls included, never by its doc_id alone: rows without an id
 and rows that share one are rows of their own.  Of every component the row with the smallest doc_id stays
@@ -35,8 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 SEED = 42
-#: Nodes of a group that are compared at once.
-BLOCK = 1024
+#: Nodes of a group that are compared at once, and bytes of their sets.
+BLOCK, BYTES = 1024, 64 << 20
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 #: The hash functions: exclusive or with the one, times the other, which is odd.
@@ -75,16 +75,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
-            nodes, prints, keys = [], [], []
+            nodes, prints, keys, sizes = [], [], [], []
             for text in part.column("text").to_pylist():
                 hashes, fp = shingle_set(text or "")
                 nodes.append(node_of(hashes))
                 prints.append(fp)
                 keys.append(band_keys(hashes))
+                sizes.append(hashes.nbytes)
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            columns = [part.column("doc_id"), part.column("row"), pa.array(nodes, type=pa.int64()), pa.array(prints, type=pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "fp", "keys"])
+            columns = [part.column("doc_id"), part.column("row"), pa.array(nodes, type=pa.int64()), pa.array(prints, type=pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(sizes, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "fp", "keys", "bytes"])
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +148,13 @@ def close_prints(distinct: DataFrame) -> DataFrame:
 
 def links(sketches: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between nodes whose closure is that of all near copies found."""
-    distinct = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    distinct = written(sketches.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")), "nodes")
     star = shared_keys(distinct.select("node", F.explode("keys").alias("key"))).unionByName(close_prints(distinct.select("node", "fp")))
     star = written(star.distinct(), "candidates")
     groups = written(components(star).select("node", F.col("root").alias("group")), "groups")
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    large = written(sizes.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
+    sizes = groups.join(distinct.select("node", "bytes"), "node").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BYTES)).cast("int")
+    large = written(sizes.select("group", blocks.alias("blocks")).where("blocks > 1"), "large")
     chosen = distinct.select("node", "row").join(groups, "node").select("row", "node", "group")
     sets = rows.select("row", "text").join(chosen.hint("merge"), "row").select("group", "node", "text").mapInArrow(set_rows, "group long, node long, fp long, hashes binary")
     # A node of block i goes to the groups {i, j} for every j.
@@ -167,7 +169,7 @@ def first_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     columns = docs.columns
     rows = docs.withColumn("row", row_key(columns))
     some = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("string").alias("text"))
-    sketches = written(some.mapInArrow(sketch_rows, "doc_id long, row long, node long, fp long, keys array<long>"), "sketches")
+    sketches = written(some.mapInArrow(sketch_rows, "doc_id long, row long, node long, fp long, keys array<long>, bytes long"), "sketches")
     edges = written(links(sketches, some, block).distinct(), "edges")
     roots = written(components(edges), "roots")
     named = sketches.select("doc_id", "row", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))

@@ -49,6 +49,14 @@ def test_blocks_of_a_large_group_lose_no_link(spark):
     assert {r["doc_id"] for r in near_copies.first_of_each(df, block=8).collect()} == {0, 100}
 
 
+def test_groups_of_long_texts_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BYTES", 3000)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]]), "en", "s", 1) for i in range(0, 400, 20)]
+    kept = near_copies.first_of_each(spark.createDataFrame([*rows, (999, "something else altogether", "en", "s", 1)], ROW)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 999]
+
+
 def test_rows_with_null_or_repeated_ids_are_rows_of_their_own(spark):
     rows = [
         (None, "a clean and unique text about the river", "en", "s", 1),
