@@ -290,7 +290,10 @@ def streamed_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
     rows = stream.where("value is not null").select(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("d"), F.col("value").alias("v"), F.col("ts").cast("timestamp").alias("asof"))
-    target = f"{shared_dir(spark)}/saltmarsh-revisions-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: a stream keeps its place there")
+    target = f"{folder}/saltmarsh-revisions-{uuid.uuid4().hex}"
     revisions.keep(rows, f"{target}/table", f"{target}/checkpoint").awaitTermination()
     return revisions.current(spark, f"{target}/table").select("series", F.col("d").cast("string").alias("d"), six("v", "v"))
 

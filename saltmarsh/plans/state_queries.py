@@ -203,6 +203,7 @@ def board(cells: list[tuple[str, ...]], names: tuple[str, ...], kept: str = "tru
 
 TILT = "greatest(-1, least(1, (score - 50) / 25.0))"
 _SUM = lambda *parts: " + ".join(f"coalesce({c}, 0) * ({w})" for c, w in parts)
+# Factors with their sides and the weights of the state's z-scores.
 FACTORS = [
     ("Value vs Growth", "Value", "Growth", _SUM(("curve_z", 0.4), ("real_z", -0.35), ("credit_z", -0.25))),
     ("Quality vs High-beta", "Quality", "High-beta", _SUM(("credit_z", 0.45), ("real_z", 0.30), ("curve_z", -0.25))),
@@ -230,7 +231,7 @@ def brief_factors():
     """The five factors of the brief with the side that leads and the funds that stand for it."""
 
 
-#: Gaps (name, gap, least): of the brief only where neither z-score is 0.
+# Gaps (name, gap, least): of the brief only where neither z-score is 0.
 GAPS = [
     ("VIX vs HY OAS", "vix_z - credit_z", 1.0, ("vix_z", "credit_z")), ("Curve vs IWM/SPY", "curve_z - small_z", 1.2, ("curve_z", "small_z")), ("GLD vs Real rates", "gld_z + real_z", 1.2, ("gld_z", "real_z")),
     ("HYG vs Equity breadth", "case when hyg_quarter < -0.02 and rsp_quarter > 0.03 then (rsp_quarter - hyg_quarter) * 10 end", 0.0, ()),
@@ -323,7 +324,7 @@ _RISK = "case when score > 55 then 1 when score < 45 then -1 else 0 end"
 _REAL = "case when real < 0.5 then 1 when real > 1.5 then -1 when real is not null then 0 end"
 _WEAK = "case when dollar_z < -0.5 then 1 when dollar_z > 0.5 then -1 when dollar_z is not null then 0 end"
 _BAND = "case when {0} > {1} then -1 when {0} < -1.0 then 1 when {0} is not null then 0 end"
-#: Signals of the asset page; what is null is not counted.
+# Signals of the asset page; what is null is not counted.
 PAGE = {
     "SPY": (_RISK, "case when credit_z < -0.5 then 1 when credit_z > 0.5 then -1 when credit_z is not null then 0 end", _REAL, "case when spy > spy_200 then 1 when spy_200 is not null then -1 end"),
     "QQQ": (_REAL, "case when real_z > 0.5 then -1 when real_z < -0.5 then 1 when real_z is not null then 0 end", _BAND.format("qqq_spy_z", 1.0), _RISK),
@@ -361,6 +362,7 @@ def _both(up: str, down: str, p: int) -> tuple[tuple[str, int], tuple[str, int]]
 
 
 _UP, _EASY, _SOFT = ("score > 55", "score < 45"), ("real < 0.5 and real <> 0", "real > 1.5"), ("dollar_z < -0.5", "dollar_z > 0.5")
+# Points of three signals.
 QUICK = {
     "SPY": _points(*_both(*_UP, 20), *_both(*_EASY, 10)), "QQQ": _points(*_both(*_EASY, 25), *_both(*_UP, 10)), "GLD": _points(*_both(*_EASY, 20), *_both(*_SOFT, 15)), "BTC": _points(*_both(*_UP, 20), *_both(*_SOFT, 15)), "SLV": _points(*_both(*_EASY, 15), *_both(*_SOFT, 10)),
 }
@@ -374,7 +376,7 @@ def quick_alignment():
 SAFE = "'TLT', 'UUP', 'GLD', 'XLP', 'XLV', 'XLU'"
 HELD = ("SPY", "RSP", "IWM", "QQQ", "GLD", "TLT", "HYG", "UUP", "BTC", "XLF", "XLE", "XLU", "XLP", "XLV", "XLI", "XLK", "XLC")
 _STRESS, _CALM = "(coalesce(vix_pct > 75, false) or coalesce(vratio > 1.0, false))", "(coalesce(vix_pct < 30, false) and (vratio is null or vratio < 0.9))"
-#: Six signals of an asset (series, v, a63, rz, zr) under the state, each -1, 0 or 1.
+# Six signals of an asset (series, v, a63, rz, zr) under the state, each -1, 0 or 1.
 CONFLUENCE = {
     "regime": f"case when score >= 60 then 1 when score <= 40 then -1 else 0 end * case when series in ({SAFE}) then -1 else 1 end",
     "curve": "case when curve_z is null then 0 when series = 'TLT' then case when real_z < -0.5 then 1 when real_z > 0.5 then -1 else 0 end when series in ('XLU', 'QQQ', 'XLK', 'IGV', 'SMH', 'XBI') then case when curve_z < -0.3 then 1 when curve_z > 0.5 then -1 else 0 end "

@@ -38,7 +38,7 @@ def _long(x: str) -> str:
 
 
 _RISING, _FALLING = "(cpi_z > 0.4 or be_z > 0.5)", "(cpi_z < -0.4 and be_z < 0)"
-#: Eight dimensions of a trade (series, side 1 or -1, v, a63, rz, wr) under the state, each -1, 0 or 1.
+# Eight dimensions of a trade (series, side 1 or -1, v, a63, rz, wr) under the state, each -1, 0 or 1.
 DIMENSIONS = {
     "regime": f"side * {_sign('score', 55, 45)} * case when series in ('GLD', 'TLT', 'UUP', 'XLP') then -1 else 1 end",
     "credit": f"side * {_sign('credit_z', 0.5, -0.5)} * case when series in ('GLD', 'TLT', 'UUP', 'XLP') then 1 else -1 end",

@@ -1,7 +1,7 @@
 """Small tables that many queries read, computed once for each version of the facts.
 
 A table is written to the folder that driver and executors share (``spark.checkpoint.dir``; only where that is unset and
-Spark is local, a temporary folder of this machine) and read from there by every later query of the application.
+Spark is one local process, a temporary folder of this machine) and read from there by every later query of the application.
 Its version is the names, lengths and times of the files that it comes from, so changed facts are read anew.
 """
 
@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +20,13 @@ from pyspark.sql import functions as F
 _WRITTEN: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share; None on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         base = tempfile.mkdtemp(prefix="saltmarsh-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return base.rstrip("/") if base else None
 
 
 def version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
@@ -39,13 +39,25 @@ def version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], tables: tuple[str, ...] = ("orders", "lineitem")) -> DataFrame:
-    """The table that ``make`` gives, written the first time it is asked for since ``tables`` last changed."""
+    """The table that ``make`` gives, written the first time it is asked for since ``tables`` last changed, or since it was cleared away.
+
+    Without a shared folder it is computed anew each time.
+    """
+    folder = shared_dir(spark)
+    if folder is None:
+        return make()
     key, now = (spark.sparkContext.applicationId, name, sf_dir), version(spark, sf_dir, tables)
-    if _WRITTEN.get(key, ("",))[0] != now:
-        path = f"{shared_dir(spark)}/saltmarsh-{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _WRITTEN[key] = (now, path)
-    return spark.read.parquet(_WRITTEN[key][1])
+    known, path = _WRITTEN.get(key, ("", ""))
+    if known == now:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as gone:
+            if gone.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    path = f"{folder}/saltmarsh-{name}-{uuid.uuid4().hex}"
+    make().write.parquet(path)
+    _WRITTEN[key] = (now, path)
+    return spark.read.parquet(path)
 
 
 def forget(spark: SparkSession) -> None:

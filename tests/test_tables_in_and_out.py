@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,5 +144,8 @@ def test_tables_are_written_once_for_a_version(spark, tmp_path):
     assert [once.once(spark, folder, "t", make).first().n for _ in range(3)] == [3, 3, 3] and len(made) == 1
     spark.range(5).write.mode("overwrite").parquet(f"{folder}/orders.parquet")
     assert once.once(spark, folder, "t", make).first().n == 5 and len(made) == 2
+    gone = once._WRITTEN[spark.sparkContext.applicationId, "t", folder][1]
+    shutil.rmtree(gone.removeprefix("file:"))
+    assert once.once(spark, folder, "t", make).first().n == 5 and len(made) == 3  # cleared away, so written again
     once.forget(spark)
-    assert once.once(spark, folder, "t", make).first().n == 5 and len(made) == 3
+    assert once.once(spark, folder, "t", make).first().n == 5 and len(made) == 4
