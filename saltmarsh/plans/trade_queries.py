@@ -69,7 +69,7 @@ def candidates(assets: DataFrame, row: DataFrame, win_rates: DataFrame) -> DataF
     """Every candidate trade with its dimensions, from (series, v, a63, rz), the one-row state and (series, win_rate)."""
     items = F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(s).alias("series"), F.lit(n).alias("name"), F.lit(d).alias("side")) for i, (s, n, d) in enumerate(CANDIDATES))))
     rows = row.selectExpr("score", "real", *(f"coalesce({c}_z, 0) as {c}_z" for c in ZS))
-    met = rows.withColumn("x", items).select("*", "x.*").drop("x").join(F.broadcast(assets), "series").join(F.broadcast(win_rates), "series", "left")  # a row an asset
+    met = rows.withColumn("x", items).select("*", "x.*").drop("x").join(assets, "series").join(win_rates, "series", "left")
     met = met.withColumn("wr", F.expr(f"case when side > 0 then coalesce(win_rate, {UNKNOWN}) else 1 - coalesce(win_rate, {UNKNOWN}) end"))
     met = met.select("*", *(F.expr(x).cast("int").alias(n) for n, x in DIMENSIONS.items()))
     return met.withColumn("n_confirm", F.expr(_CONFIRM)).withColumn("n_against", F.expr(_AGAINST))
