@@ -2,8 +2,10 @@
 
 Coarse centroids and the codebooks of the residuals are fitted by k-means on a bounded sample of rows;
 every row is assigned to its list and coded.  A query visits its nearest lists: as many as on the sample hold
-``TARGET`` of the neighbours that brute force finds there, and enough to hold ``ENOUGH`` rows; in each it adds up distances from a table per subspace, takes the best
-``SHORT`` (more for a longer list) by that, and computes the exact distances of those in double precision.
+``TARGET`` of the neighbours that brute force finds there, and enough to hold ``ENOUGH`` rows; besides, the lists of
+the ``GUIDES`` rows of the sample that are nearest to it.  In each it adds up distances from a table per subspace.  A row is as far
+from its code as was kept with it, so these give a lower and an upper bound of every distance: the rows whose lower bound is
+not above the k-th least upper one are compared exactly, in double precision.  So no row of a visited list is lost, however coarse the codes.
 A list is cut into parts of about ``PART`` rows by a hash of the id, and each part is a group of its own, so
 a hot list (or a third of all rows being one vector) is many groups; the queries go to every part.  The
 best k of a query over its parts are the result.
@@ -35,7 +37,8 @@ CODES = 64
 TARGET = 0.97
 TRIED = 256
 ENOUGH = 400
-SHORT = 64
+#: Nearest rows of the sample whose lists a query visits, and bound on the bytes of the sample that is kept for that.
+GUIDES, GUIDE_BYTES = 32, 16 << 20
 PART = 8192
 ROUNDS = 8
 #: An eighth of the queries that one group of a list takes.
@@ -69,6 +72,9 @@ class Index:
     books: list[np.ndarray]
     cuts: np.ndarray  # first dimension of each subspace, and the end
     probes: int  # lists that a query visits
+    origin: np.ndarray  # what vectors are counted from, so that a common offset costs no digits
+    guides: np.ndarray  # rows of the sample
+    guide_lists: np.ndarray
 
     def lists_of(self, vectors: np.ndarray) -> np.ndarray:
         return np.concatenate([squared(vectors[i : i + 1024], self.centres).argmin(axis=1) for i in range(0, len(vectors), 1024)]) if len(vectors) else np.zeros(0, np.int64)
@@ -77,10 +83,22 @@ class Index:
         rest = vectors - self.centres[lists]
         return np.stack([squared(rest[:, a:b], book).argmin(axis=1) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], axis=1).astype(np.uint8)
 
+    def offs_of(self, vectors: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of vectors from what their codes stand for."""
+        coded = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+        return np.sqrt(((vectors - self.centres[lists] - coded) ** 2).sum(axis=1))
+
+    def guided(self, vectors: np.ndarray) -> np.ndarray:
+        """A row per vector: the lists of its nearest guides."""
+        n = min(GUIDES, len(self.guides))
+        return self.guide_lists[np.argpartition(squared(vectors, self.guides), n - 1, axis=1)[:, :n]]
+
 
 def fit(sample: np.ndarray, rows: int) -> Index:
     """``rows``: of the whole table, from which the number of lists follows, up to LISTS."""
     random = np.random.default_rng(29)
+    origin = np.median(sample, axis=0)
+    sample = sample - origin
     lists = max(1, min(LISTS, int(round(rows**0.5)), len(sample) // 16 or 1))
     centres = k_means(sample, lists, random)
     near = squared(sample, centres).argmin(axis=1)
@@ -88,7 +106,8 @@ def fit(sample: np.ndarray, rows: int) -> Index:
     dimension = sample.shape[1]
     cuts = np.unique(np.linspace(0, dimension, min(SUBSPACES, dimension) + 1).astype(int))
     books = [k_means(rest[:, a:b], CODES, random) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return Index(centres, books, cuts, probes_for(sample, centres, near, random))
+    kept = max(1024, GUIDE_BYTES // (8 * dimension))
+    return Index(centres, books, cuts, probes_for(sample, centres, near, random), origin, sample[:kept], near[:kept])
 
 
 def probes_for(sample: np.ndarray, centres: np.ndarray, lists: np.ndarray, random: np.random.Generator, k: int = 10) -> int:
@@ -134,21 +153,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("embedding"), dimension)
-            lists = index.value.lists_of(x)
-            codes = [c.tobytes() for c in index.value.codes_of(x, lists)] if len(x) else []
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(lists.astype(np.int32)), pa.array(codes, type=pa.binary())], names=["vec_id", "embedding", "list", "code"])
-
-    table = written(rows.mapInArrow(coded, "vec_id long, embedding array<double>, list int, code binary"), "lists")
+            if not batch.num_rows:
+                continue
+            x, own = matrix(batch.column("embedding"), dimension) - index.value.origin, index.value
+            lists = own.lists_of(x)
+            codes = own.codes_of(x, lists)
+            columns = [batch.column("vec_id"), batch.column("embedding"), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], type=pa.binary()), pa.array(own.offs_of(x, lists, codes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "list", "code", "off"])
+
+    table = written(rows.mapInArrow(coded, "vec_id long, embedding array<double>, list int, code binary, off double"), "lists")
     held = {int(r["list"]): int(r["n"]) for r in table.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most LISTS rows
     counts = np.array([held.get(i, 0) for i in range(len(index.value.centres))])
     parts = np.maximum(1, -(-counts // PART))
 
     def visited(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of queries and the lists that each visits."""
+        own = own - index.value.origin
         order = np.argsort(squared(own, index.value.centres), axis=1, kind="stable")
         before = np.cumsum(counts[order], axis=1) - counts[order]
         take = (np.arange(order.shape[1]) < index.value.probes) | (before < max(ENOUGH, 4 * k))
+        guided = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(guided, index.value.guided(own), True, axis=1)
+        take |= np.take_along_axis(guided, order, axis=1)
         query, column = np.nonzero(take & (counts[order] > 0))
         return query, order[query, column]
 
@@ -183,18 +209,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return FOUND.empty_table()
         right = right.sort_by("vec_id")
-        ids, codes = right["vec_id"].to_numpy(), np.frombuffer(b"".join(right["code"].to_pylist()), dtype=np.uint8).reshape(right.num_rows, -1)
+        ids, codes, off = right["vec_id"].to_numpy(), np.frombuffer(b"".join(right["code"].to_pylist()), dtype=np.uint8).reshape(right.num_rows, -1), right["off"].to_numpy()
         x, own = matrix(right["embedding"], dimension), index.value
         query_ids, q = left["query_id"].to_numpy(), matrix(left["embedding"], dimension)
-        rest = q - own.centres[right["list"][0].as_py()]
-        short = min(len(ids), max(SHORT, len(ids) // 16) + 1)
+        middle = own.origin + own.centres[right["list"][0].as_py()]
+        rest, held = q - middle, x - middle
+        norms = (held * held).sum(axis=1)
+        least = min(len(ids), k + 1) - 1  # the query itself may be among them
         found = []
         for i in range(len(q)):
             tables = [squared(rest[i : i + 1, a:b], book)[0] for a, b, book in zip(own.cuts, own.cuts[1:], own.books, strict=False)]
             far = np.zeros(len(ids))
             for m, t in enumerate(tables):
                 far += t[codes[:, m]]
-            at = np.sort(np.argsort(far, kind="stable")[:short])
+            far, size = np.sqrt(far), (rest[i] @ rest[i]) ** 0.5
+            spare = 1e-6 * (size + far + off)  # of sums of squares
+            at = np.flatnonzero(far - off - spare <= np.partition(far + off + spare, least)[least])
+            if len(at) > 4 * k:  # many rows: a product first, and what it can't tell apart from the k-th after it
+                near = norms[at] - 2 * ((held if len(at) == len(ids) else held[at]) @ rest[i]) + size * size
+                spare = 1e-9 * (norms[at] + size * size)
+                at = at[near - spare <= np.partition(near + spare, least)[least]]
             at = at[ids[at] != query_ids[i]]
             exact = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
             first = np.argsort(exact, kind="stable")[:k]
