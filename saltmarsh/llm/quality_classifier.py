@@ -148,6 +148,15 @@ def fit(ids: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, sh
     return Model(values.astype(np.float32), float(bias[1] - bias[0] + shift))
 
 
+def fitted(sample: pa.Table) -> pa.Table:
+    """The model of the features of a whole sample, which is bounded, as one row."""
+    order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
+    marked = sample["label"].to_numpy().astype(np.int64)[order]
+    ids, weights = ([np.frombuffer(column[int(i)].as_py(), dtype=kind) for i in order] for column, kind in ((sample["ids"], np.uint16), (sample["weights"], np.float32)))
+    model = fit(ids, weights, marked, sample["share"][0].as_py())
+    return pa.table({"weights": pa.array([model.values.tobytes()], type=pa.binary()), "bias": pa.array([model.bias])})
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int | None = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
     """Fits on labelled rows outside the held-out fold (all, if ``folds`` is None)."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -161,15 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("label = 0").orderBy(*order).limit(sample // 2).unionByName(marks.where("label = 1").orderBy(*order).limit(sample // 2))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    got = rows.mapInArrow(feature_rows, "doc_id long, label int, ids binary, weights binary").toArrow()
-    marks.unpersist()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    marked = got["label"].to_numpy().astype(np.int64)[order]
-    ids, weights = ([np.frombuffer(column[int(i)].as_py(), dtype=kind) for i in order] for column, kind in ((got["ids"], np.uint16), (got["weights"], np.float32)))
-    del got
-    pa.default_memory_pool().release_unused()  # the driver keeps one copy of the sample
     share = shares.get(1, 0) / max(sum(shares.values()), 1)
-    return fit(ids, weights, marked, min(max(share, 1e-6), 1 - 1e-6))
+    sampled = rows.mapInArrow(feature_rows, "doc_id long, label int, ids binary, weights binary").withColumn("share", F.lit(min(max(share, 1e-6), 1 - 1e-6)))
+    got = sampled.groupBy("share").applyInArrow(fitted, "weights binary, bias double").first()  # BUCKETS numbers; the sample stays with the task
+    marks.unpersist()
+    return Model(np.frombuffer(got["weights"], dtype=np.float32), got["bias"]) if got else fit([], [], np.zeros(0, np.int64), 0.5)
 
 
 def log_odds(texts: pa.StringArray, model: Model) -> np.ndarray:
