@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip
+from ..functions.scalars import clip, printed
 
 Step = tuple[str, float, int, str, str | None]
 RULE = "key string, label string, series string, stat string, format string, scale double, delta string, steps array<struct<op:string,at:double,direction:int,colour:string,word:string>>, last_step struct<direction:int,colour:string,word:string>"
@@ -77,10 +77,8 @@ def signals(stats: DataFrame, rules: list[tuple]) -> DataFrame:
 
     delta = F.when(F.col("delta") == "d7", F.col("d7")).when(F.col("delta") == "d28", F.col("d28"))
     zscore = F.when(~F.col("format").startswith("~"), F.col("z"))
-    # Halves go to the even whole number, which format_string alone would round up.
-    scaled = F.when(F.col("format").contains("%.0f"), F.bround(F.col("value") / F.col("scale"))).otherwise(F.col("value") / F.col("scale"))
-    formatted = F.coalesce(of("word"), F.expr("format_string(ltrim('~', format), scaled)"))
-    return met.withColumn("scaled", scaled).select("key", "value", formatted.alias("formatted"), zscore.alias("zscore"), delta.alias("delta"), of("colour").alias("colour"), "label", of("direction").alias("direction"))
+    formatted = F.coalesce(of("word"), printed(F.ltrim("format", F.lit("~")), F.col("value") / F.col("scale")))
+    return met.select("key", "value", formatted.alias("formatted"), zscore.alias("zscore"), delta.alias("delta"), of("colour").alias("colour"), "label", of("direction").alias("direction"))
 
 
 def one_row(stats: DataFrame, **columns: tuple[str, str]) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import printed
+
 RULE = "topic string, nth int, reading string, low double, high double, text string, colour string, shown string, format string, scale double"
 Rule = tuple[str, int, str, float | None, float | None, str, str | None, str | None, str | None, float]
 
@@ -34,7 +36,7 @@ def told(found: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     met = met.where((F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") < F.col("high"))))
     other = found.select(*keys, F.col("reading").alias("shown"), F.col("value").alias("number"))
     met = met.join(other, [*keys, "shown"], "left").where("shown is null or number is not null")
-    number = F.when(F.col("shown").isNotNull(), F.expr("format_string(format, number * scale)")).otherwise("")
+    number = F.when(F.col("shown").isNotNull(), printed(F.col("format"), F.col("number") * F.col("scale"))).otherwise("")
     line = F.struct("nth", F.replace(F.col("text"), F.lit("{}"), number).alias("text"), "colour")
     return met.groupBy(*keys, "topic").agg(F.min_by(line, F.col("nth")).alias("x")).select(*keys, "topic", "x.text", "x.colour")
 

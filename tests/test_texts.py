@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from saltmarsh.functions.scalars import contribution
+from saltmarsh.functions.scalars import contribution, printed
 from saltmarsh.operators import points, texts
 from saltmarsh.plans import market_queries, outlook_queries, text_queries
 
@@ -99,6 +99,22 @@ def test_cards_at_their_bounds(spark):
     assert [got[k, "1W RTN"] for k in "abc"] == [("+0.0%", down), ("+1.0%", up), ("-1.0%", down)] and ("d", "1W RTN") not in got
 
 
+def test_numbers_are_rounded_from_their_exact_values(spark):
+    """As C prints them: halves like 0.25 go to the even digit, 0.15 and 39.15 are no halves but just below one."""
+    rules = texts.table(spark, text_queries.CARD_ROWS)
+    rows = spark.createDataFrame([("a", 0.25, 0.125), ("b", 0.15, 2.5), ("c", -39.15, 0.375), ("d", 39.35, 0.115), ("e", -0.04, 1.005), ("f", 0.35, 0.135)], "k string, ma200_pct double, real double")
+    got = {(r.k, r.topic): r.text for r in texts.told(texts.readings(rows, ["k"], ["ma200_pct", "real"]), rules, ["k"]).collect()}
+    for r in rows.collect():
+        assert (got[r.k, "VS 200D MA"], got[r.k, "REAL YIELD"]) == ("%+.1f%%" % r.ma200_pct, "%.2f%%" % r.real)
+    assert got["a", "VS 200D MA"] == "+0.2%" and got["c", "VS 200D MA"] == "-39.1%" and got["a", "REAL YIELD"] == "0.12%"
+
+
+def test_whole_and_infinite_numbers_are_printed(spark):
+    rows = spark.createDataFrame([("%.0fth", 2.5), ("%.0fth", 3.5), ("$%,.2f", 1234567.125), ("%+.2fpp", -0.0), ("%.1f", float("inf"))], "f string, x double")
+    got = [r.t for r in rows.select(printed(F.col("f"), F.col("x")).alias("t")).collect()]
+    assert got == ["2th", "4th", "$1,234,567.12", "-0.00pp", "Infinity"]
+
+
 def test_colours_and_contributions(spark):
     df = spark.createDataFrame([("#1d4ed8", 0.5, 2.0, 3.0), ("16a34a", None, 2.0, 0.25), ("#fff", None, None, 1.0), (None, 0.0, 1.0, 1.0)], "c string, s double, z double, w double")
     got = df.select(texts.rgba(F.col("c"), 0.09).alias("c"), contribution(F.col("s"), F.col("z"), F.col("w")).alias("v")).collect()
