@@ -135,18 +135,20 @@ def spearman_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(
         SER, "cm as (select a.series as a, b.series as b, a.d, a.v as x, b.v as y from ser a join ser b on a.d = b.d and a.series < b.series)",
         "dr as (select a, b, d, x / lag(x) over w - 1 as x, y / lag(y) over w - 1 as y, count(*) over (partition by a, b) as n from cm window w as (partition by a, b order by d))",
-        "rn as (select *, row_number() over (partition by a, b order by d desc) as rn from dr where x is not null and n >= 73)",
+        "rn as (select *, row_number() over (partition by a, b order by d desc) as rn from dr)",
     )
-    + f"select a, b, {r('corr(x, y)')} as corr, {r('corr(x, y) filter (where rn <= 63)')} as recent, count(*) as n from rn group by 1, 2"
+    + f"select a, b, {r('case when max(n) >= 73 then corr(x, y) end')} as corr, {r('case when max(n) >= 73 then corr(x, y) filter (where rn <= 63) end')} as recent, count(x) as n from rn group by 1, 2"
 )
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of the changes from one common date to the next, of all and of the last 63, for pairs of 73 common dates or more."""
+    """Correlation of the changes from one common date to the next, of all and of the last 63, for every pair with a common date; null below 73 of them."""
     own = Window.partitionBy("a", "b")
-    both = points.pairs(tables.orders(spark, sf_dir)).withColumn("n", F.count(F.lit(1)).over(own)).where("n >= 73").drop("n")
-    changes = both.select("a", "b", "d", *((F.try_divide(c, F.lag(c).over(own.orderBy("d"))) - 1).alias(c) for c in ("x", "y"))).where("x is not null and y is not null")
-    rows = changes.withColumn("rn", F.row_number().over(own.orderBy(F.desc("d"))))
-    late = F.col("rn") <= 63
-    return rows.groupBy("a", "b").agg(six(F.corr("x", "y"), "corr"), six(F.corr(F.when(late, F.col("x")), F.when(late, F.col("y"))), "recent"), F.count(F.lit(1)).alias("n"))
+    both = points.pairs(tables.orders(spark, sf_dir)).withColumn("dates", F.count(F.lit(1)).over(own))
+    changes = both.select("a", "b", "d", "dates", *((F.try_divide(c, F.lag(c).over(own.orderBy("d"))) - 1).alias(c) for c in ("x", "y")))
+    there = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)
+    rows = changes.withColumn("there", there).withColumn("rn", F.count("there").over(own.orderBy(F.desc("d"))))
+    enough, late = F.max("dates") >= 73, F.col("rn") <= 63
+    recent = F.corr(F.when(late, F.col("x")), F.when(late, F.col("y")))
+    return rows.groupBy("a", "b").agg(six(F.when(enough, F.corr("x", "y")), "corr"), six(F.when(enough, recent), "recent"), F.count("there").alias("n"))
 
 
 #: The copula's factor for a pair: by tau, its tail, and the departure of the recent rank correlation.

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalars
 from saltmarsh.operators import joins, points, windows
-from saltmarsh.plans import regime
+from saltmarsh.plans import model_queries, regime
 from saltmarsh.sources import tables
 
 SCHEMA = "series string, d date, v double"
@@ -118,3 +119,17 @@ def test_kendall_with_ties_against_brute_force(spark):
     s = sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i, j in ij)
     nx, ny = (sum(abs(sign(z[i] - z[j])) for i, j in ij) for z in (x, y))
     assert abs(one(points.kendall(both))["tau"] - s / (nx * ny) ** 0.5) < 1e-12
+
+
+def test_every_pair_has_a_correlation_row(spark, tmp_path):
+    """Pairs of 1, 2, 72, 73 and 100 common dates: all there, with a value from 73 on, as the SQL says."""
+    counts = {"a": 100, "b": 100, "c": 73, "e": 72, "f": 2, "g": 1}
+    rows = [(s, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(100 + (i * (7 + k)) % (11 + k) + k)) for k, (s, n) in enumerate(counts.items()) for i in range(n)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate timestamp, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = {(r.a, r.b): (r.corr, r.recent, r.n) for r in model_queries.QUERIES["pair_correlation"](spark, str(tmp_path)).collect()}
+    assert {p: n for p, (_, _, n) in found.items()} == {(x, y): min(counts[x], counts[y]) - 1 for x in counts for y in counts if x < y}
+    assert {p for p, (corr, recent, _) in found.items() if corr is not None and recent is not None} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert all(corr is None and recent is None for corr, recent, n in found.values() if n < 72)
+    duck = duckdb.connect()
+    duck.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert {(a, b): (corr, recent, n) for a, b, corr, recent, n in duck.execute(model_queries.ORACLE["pair_correlation"]).fetchall()} == found
