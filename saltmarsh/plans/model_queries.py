@@ -50,9 +50,14 @@ def daily_roles(spark: SparkSession, sf_dir: str, which: tuple) -> DataFrame:
     return both.join(F.broadcast(names), ["src", "series"]).select(F.col("role").alias("series"), "d", (F.col("v") * F.col("factor") + F.col("offset")).alias("v"))
 
 
+def role_statistics(spark: SparkSession, sf_dir: str, which: tuple = ROLES) -> DataFrame:
+    """Statistics of every role and day, written once: history and snapshot read the same ones."""
+    return once(spark, sf_dir, f"statistics-{_digest(which)}", lambda: regime.all_statistics(roles(spark, sf_dir, which)))
+
+
 def score_history(spark: SparkSession, sf_dir: str, which: tuple = ROLES) -> DataFrame:
     """The regime of every Friday, written once."""
-    return once(spark, sf_dir, f"history-{_digest(which)}", lambda: regime.history(roles(spark, sf_dir, which)))
+    return once(spark, sf_dir, f"history-{_digest(which)}", lambda: regime.history(roles(spark, sf_dir, which), role_statistics(spark, sf_dir, which)))
 
 
 def weekly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

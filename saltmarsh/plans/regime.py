@@ -60,6 +60,8 @@ def derived(roles: DataFrame) -> DataFrame:
 def statistics(roles: DataFrame) -> DataFrame:
     """(series, d, v, n, z, roc, gap, pct) of every row on the rows of its series so far."""
     v, n = F.col("v"), F.count(F.lit(1)).over(windows.so_far())
+    # A frame of 252 rows is summed anew for each row, so series are dealt to all cores however few bytes they are.
+    roles = roles.repartition(roles.sparkSession.sparkContext.defaultParallelism, "series")
     claims = F.col("series") == "init_claims"
     step = F.when(claims, windows.change(v, 13)).otherwise(windows.change(v, 63))
     # Claims look back over as many rows as there are, so the guard of their z-score shrinks with it.
@@ -159,9 +161,14 @@ def assembled(row: DataFrame) -> DataFrame:
 NEEDED = ("init_claims", "breadth", "curve3m", "cpi", "cpi_yoy", "breakeven", "real10", "curve2", "fed_assets", "fed_roc", "hy_oas", "ig_oas", "VIX", "vratio", "slope", "dollar_broad")
 
 
-def laid_out(roles: DataFrame, dates: DataFrame) -> DataFrame:
-    """A row for each ``d`` of ``dates`` (d, macro, price), with every role's statistics as of the date of its kind."""
-    stats = statistics(roles.unionByName(derived(roles)))
+def all_statistics(roles: DataFrame) -> DataFrame:
+    """``statistics`` of roles and of what derives from them."""
+    return statistics(roles.unionByName(derived(roles)))
+
+
+def laid_out(roles: DataFrame, dates: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """A row for each ``d`` of ``dates`` (d, macro, price), with every role's statistics (``all_statistics``) as of the date of its kind."""
+    stats = all_statistics(roles) if stats is None else stats
     asked = dates.select(F.col("d").alias("key"), "macro", "price", F.explode(F.array(*(F.lit(r) for r in NEEDED))).alias("series"))
     asked = asked.select("key", "series", F.when(F.col("series").isin(*PRICED), F.col("price")).otherwise(F.col("macro")).alias("d"))
     values = ["v", "n", "z", "roc", "gap", "pct"]
@@ -170,10 +177,10 @@ def laid_out(roles: DataFrame, dates: DataFrame) -> DataFrame:
     return met.groupBy(F.col("key").alias("d")).agg(*cells).join(F.broadcast(broad(roles)))
 
 
-def history(roles: DataFrame) -> DataFrame:
+def history(roles: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """d, the six pillars, score_raw, score and label of every Friday."""
     dates = fridays(roles).select("d", F.col("d").alias("macro"), F.col("d").alias("price"))
-    out = assembled(pillars(laid_out(roles, dates)))
+    out = assembled(pillars(laid_out(roles, dates, stats)))
     return out.select("d", *WEIGHTS, "score_raw", "score", "label", "missing")
 
 
@@ -184,9 +191,9 @@ def cuts(roles: DataFrame, days: int = 21) -> DataFrame:
     return newest.select(F.explode(both).alias("x")).select("x.*")
 
 
-def snapshot(roles: DataFrame) -> DataFrame:
+def snapshot(roles: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """The regime 'now' and 'before': statistics, pillars, weights, penalty, score and label."""
-    return assembled(pillars(laid_out(roles, cuts(roles))))
+    return assembled(pillars(laid_out(roles, cuts(roles), stats)))
 
 
 # Names of the pillars and where their level and z-score come from.

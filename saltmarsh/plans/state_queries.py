@@ -15,7 +15,7 @@ from ..operators import points, rules, windows
 from ..sources.once import once
 from . import regime
 from .base_sql import LINE, SER, r, with_
-from .model_queries import HISTORY_SQL, LABEL_SQL, NAMES, SNAPSHOT_SQL, score_history
+from .model_queries import HISTORY_SQL, LABEL_SQL, NAMES, SNAPSHOT_SQL, role_statistics, score_history
 from .rule_queries import MORE, ORACLE, QUERIES, SPREADS, STAT, every, role_sql, roles
 from .series_queries import query, six
 
@@ -70,7 +70,7 @@ def current_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regime 'now' and 'before', written once."""
-    return once(spark, sf_dir, "snapshot", lambda: regime.snapshot(roles(spark, sf_dir, ALL)))
+    return once(spark, sf_dir, "snapshot", lambda: regime.snapshot(roles(spark, sf_dir, ALL), role_statistics(spark, sf_dir, ALL)))
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.operators import joins, points
-from saltmarsh.plans import regime, state_queries
+from saltmarsh.plans import model_queries, regime, state_queries
+from saltmarsh.sources import once
 
 DAY = "series string, d date, v double"
 
@@ -84,3 +85,13 @@ def test_weekly_changes_of_pairs_need_a_year(spark):
     rows = [("a", "b", i, float(100 + i % 7), float(50 + i % 5)) for i in range(7 * 60)]
     both = spark.createDataFrame(rows, "a string, b string, i int, x double, y double").withColumn("d", F.expr("date_add(date'2020-01-03', i)"))
     assert points.pair_returns(both).count() >= 59 and points.pair_returns(both.where("i < 300")).count() == 0
+
+
+def test_history_and_snapshot_share_statistics_dealt_to_all_cores(spark, monkeypatch):
+    taken, of = [], regime.statistics
+    monkeypatch.setattr(regime, "statistics", lambda rows: taken.append(of(rows)) or taken[-1])
+    once.forget(spark)
+    model_queries.score_history(spark, "/root/testdata/sf0.001", state_queries.ALL)
+    state_queries.snapshot_all(spark, "/root/testdata/sf0.001")
+    assert len(taken) == 1
+    assert taken[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
